@@ -92,6 +92,16 @@ def text_bytes(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")
 
 
+def let(value, then):
+    """then(value) with value computed once: Catalyst would copy the expression to each place that uses it, into lambdas too."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def once(df: DataFrame, name: str, value) -> DataFrame:
+    """df with a column that is computed once a row: a generator of one row, into which no later operator is folded."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def replace_file(tmp: str, path: str) -> None:
     """Commits a finished temporary file under its final name; a repeated task overwrites equal bytes."""
     with open(tmp, "rb+") as f:

@@ -25,28 +25,30 @@ UNITS = "kg g mg km m cm mm mi ft in lb lbs oz l ml s sec min h hr hours minutes
 NAME, NUMBER, UNIT = "\ue000", "#num", "#unit"
 
 
-def _if(cond: Column, then: Column, other: Column) -> Column:
-    return F.when(cond, then).otherwise(other)
-
-
 def marked_tokens(text: Column) -> Column:
     """Lower-cased words without punctuation; a name (a capitalised word that begins no sentence) has a mark before it."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    text = F.translate(text, NAME, " ")
-    # Most texts have no capital inside a sentence, and the test is cheaper than the replacement.
     inner = r"(?<=[\p{Ll}\p{N},;:)] )(\p{Lu}\p{Ll}+)"
-    text = _if(text.rlike(inner), F.regexp_replace(text, inner, NAME + "$1"), text)
-    text = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}\p{{N}}\s{NAME}]+", "")
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+    def clean(t: Column) -> Column:
+        # Most texts have no capital inside a sentence, and the test is cheaper than the replacement.
+        named = F.when(t.rlike(inner), F.regexp_replace(t, inner, NAME + "$1")).otherwise(t)
+        return F.filter(F.split(F.regexp_replace(F.lower(named), rf"[^\p{{L}}\p{{M}}\p{{N}}\s{NAME}]+", ""), r"\s+"), lambda w: w != "")
+
+    return common.let(F.translate(F.coalesce(text.cast("string"), F.lit("")), NAME, " "), clean)
 
 
 def template(tokens: Column) -> Column:
     """Template tokens: marked names, numbers and units after numbers become placeholders."""
-    line = F.array_join(tokens, " ")
-    typed = _if(F.contains(line, F.lit(NAME)), F.regexp_replace(line, NAME + r"\S*", "#name"), line)
-    digits = r"(?<!\S)\p{Nd}\S*"
-    typed = _if(typed.rlike(r"\p{Nd}"), F.regexp_replace(F.regexp_replace(typed, digits, NUMBER), rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?!\S)", UNIT), typed)
-    return F.filter(F.split(typed, " "), lambda w: w != "")
+    digits, units = r"(?<!\S)\p{Nd}\S*", rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?!\S)"
+
+    def names(line: Column) -> Column:
+        return F.when(F.contains(line, F.lit(NAME)), F.regexp_replace(line, NAME + r"\S*", "#name")).otherwise(line)
+
+    def numbers(line: Column) -> Column:
+        return F.when(line.rlike(r"\p{Nd}"), F.regexp_replace(F.regexp_replace(line, digits, NUMBER), units, UNIT)).otherwise(line)
+
+    # Placeholders hold no space, so positions stay.
+    return F.filter(F.split(common.let(common.let(F.array_join(tokens, " "), names), numbers), " "), lambda w: w != "")
 
 
 def windows(tokens: Column) -> Column:
@@ -62,7 +64,8 @@ def _literals(tokens: Column) -> Column:
 
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of the items: item_id, wpos, h, slots array<struct<at, value>>; and item_id, n_windows (distinct)."""
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), marked_tokens(F.col("text")).alias("tokens")).withColumn("typed", template(F.col("tokens")))
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
+    items = common.once(common.once(items, "tokens", marked_tokens(F.col("text"))), "typed", template(F.col("tokens")))
     each = items.select("item_id", "tokens", "typed", F.posexplode(windows(F.col("typed"))).alias("wpos", "h"))
     span = F.slice("typed", F.col("wpos") + 1, WINDOW)
     slots = F.filter(F.transform(span, lambda w, k: F.struct(k.alias("at"), F.when(w.startswith("#"), F.element_at("tokens", F.col("wpos") + k + 1)).alias("value"))), lambda s: s.value.isNotNull())
@@ -83,15 +86,16 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     small = each.count() <= BROADCAST_WINDOWS
     keys = each.select("item_id", "h").distinct()
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = own.select("doc_id", F.explode(windows(template(marked_tokens(F.col("text"))))).alias("h"))
+    typed = common.once(common.once(own, "tokens", marked_tokens(F.col("text"))).select("doc_id", "tokens"), "typed", template(F.col("tokens")))
+    seen = typed.select("doc_id", F.explode(windows(F.col("typed"))).alias("h"))
     hits = seen.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "item_id", "h").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
     hits = hits.join(F.broadcast(sizes) if small else sizes, "item_id").select("doc_id", "item_id", (F.col("n") / F.col("n_windows")).alias("coverage")).where(F.col("coverage") >= COVERAGE)
     hits = common.cut(spark, hits, "benchmark-hits")
     slotted = each.where(F.size("slots") > 0).select("item_id", F.col("h").alias("k"), "slots")
     asked = hits.join(slotted.select("item_id").distinct(), "item_id", "left_semi")
     # What fills the slots is read again from the few documents that hold such an item.
-    texts = own.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", marked_tokens(F.col("text")).alias("tokens"))
-    places = texts.select("doc_id", "tokens", F.posexplode(windows(template(F.col("tokens")))).alias("pos", "k"))
+    texts = common.once(own.join(asked.select("doc_id").distinct(), "doc_id", "left_semi"), "tokens", marked_tokens(F.col("text"))).select("doc_id", "tokens")
+    places = common.once(texts, "typed", template(F.col("tokens"))).select("doc_id", "tokens", F.posexplode(windows(F.col("typed"))).alias("pos", "k"))
     filled = places.join(asked, "doc_id").join(slotted, ["item_id", "k"])
     pairs = filled.select("doc_id", "item_id", F.explode(F.transform("slots", lambda s: F.struct(s.value.alias("given"), F.element_at("tokens", F.col("pos") + s.at + 1).alias("found")))).alias("p"))
     counted = pairs.groupBy("doc_id", "item_id", "p.given", "p.found").agg(F.count("*").alias("n"))

@@ -186,7 +186,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("v"))
     good = F.coalesce((F.size("v") > 0) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False)) & F.col("label").isNotNull()
     v = F.transform("v", lambda c: c + F.lit(0.0))  # -0.0 and 0.0 are equal
-    marked = common.cut(spark, own.select("vec_id", F.struct("label", F.size("v").alias("d")).alias("grp"), F.when(good, v).alias("v"), F.when(good, F.sha2(F.concat_ws(",", F.lit(""), F.col("label").cast("string"), F.transform(v, lambda c: c.cast("string"))), 256)).alias("cls")), "vectors")
+    marked = common.cut(spark, own.select("vec_id", F.concat_ws(":", F.col("label").cast("string"), F.size("v").cast("string")).alias("grp"), F.when(good, v).alias("v"), F.when(good, F.sha2(F.concat_ws(",", F.lit(""), F.col("label").cast("string"), F.transform(v, lambda c: c.cast("string"))), 256)).alias("cls")), "vectors")
     classes = marked.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("grp").alias("grp"), F.first("v").alias("v"))
     classes = common.cut(spark, classes.withColumn("rep", F.coalesce("rep", F.lit(-(1 << 63)))), "vector-classes")
     sizes = classes.groupBy("grp").agg(F.count("*").alias("n")).select("grp", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
@@ -200,7 +200,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
         whole = pickle.dumps((Graph(x), x, pdf["cls"].to_numpy(), pdf["rep"].to_numpy(), pdf["m"].to_numpy()))
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "blocks": [pdf["blocks"].iloc[0]], "graph": [whole]})
 
-    shards = placed.groupBy("grp", "shard").applyInPandas(build, classes.select("grp").schema.add("shard", "int").add("blocks", "int").add("graph", "binary"))
+    shards = placed.groupBy("grp", "shard").applyInPandas(build, "grp string, shard int, blocks int, graph binary")
     shards = common.cut(spark, shards, "vector-graphs")
     # Each block of queries gets each graph of its label.
     graphs = shards.select("grp", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "graph")

@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 UNKNOWN = "unknown"
 #: Notices by which works state their licence, by family.
 TEMPLATES = {
@@ -144,7 +146,7 @@ def scan(spark: SparkSession, docs: DataFrame, model: Softmax | None = None) ->
     sizes = F.create_map(*[F.lit(x) for t in sorted({m[0] for m in marks}) for x in (t, float(sum(m[0] == t for m in marks)))])
     signs = [r["h"] for r in templates.select("h").distinct().collect()]  # some 300 hashes of fixed templates
     # A line without any three-word n-gram of a template can't be confirmed, whatever its probability.
-    lines = paragraphs(docs).withColumn("words", words_col(F.col("line"))).where(F.size("words") >= GRAMS)
+    lines = common.once(paragraphs(docs), "words", words_col(F.col("line"))).where(F.size("words") >= GRAMS)
     lines = lines.where(F.exists(F.sequence(F.lit(0), F.size("words") - GRAMS), lambda i: gram_hash(F.col("words"), i, GRAMS).isin(signs)))
     each = lines.select("doc_id", "para", F.xxhash64("line").alias("line"), all_grams(F.col("words")).alias("grams")).distinct()
     each = each.select("doc_id", "para", "line", F.size("grams").alias("n"), F.explode("grams").alias("h"))
