@@ -46,14 +46,15 @@ def gram_hash(words: np.ndarray) -> np.ndarray:
 
 
 def pack(words: np.ndarray, values: np.ndarray) -> bytes:
-    """Rows of word hashes and of counts as a compressed run."""
+    """Rows of word hashes and of counts as a compressed run: sorted vocabulary as byte planes of its differences, then columns."""
     import zstandard
 
     vocab, index = np.unique(words, return_inverse=True)
-    columns = [np.ascontiguousarray(index.reshape(words.shape)[:, k], np.uint32) for k in range(words.shape[1])]
-    columns += [np.ascontiguousarray(values[:, k], np.uint64) for k in range(values.shape[1])]
+    planes = np.diff(vocab, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    columns = [np.ascontiguousarray(index.reshape(words.shape)[:, k], np.uint32).view(np.uint8).reshape(-1, 4).T for k in range(words.shape[1])]
+    columns += [np.ascontiguousarray(values[:, k], np.uint64).view(np.uint8).reshape(-1, 8).T for k in range(values.shape[1])]
     head = np.array([len(vocab), *words.shape, values.shape[1]], np.uint32)
-    return zstandard.compress(b"".join(x.tobytes() for x in [head, vocab, *columns]), 3)
+    return zstandard.compress(head.tobytes() + b"".join(np.ascontiguousarray(x).tobytes() for x in [planes, *columns]), 3)
 
 
 def unpack(run: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -61,11 +62,17 @@ def unpack(run: bytes) -> tuple[np.ndarray, np.ndarray]:
 
     raw = zstandard.decompress(run)
     v, rows, n, k = np.frombuffer(raw, np.uint32, 4).tolist()
-    vocab = np.frombuffer(raw, np.uint64, v, 16)
-    at = 16 + 8 * v
-    index = np.frombuffer(raw, np.uint32, rows * n, at).reshape(n, rows)
-    values = np.frombuffer(raw[at + 4 * rows * n :], np.uint64).reshape(k, rows)
-    return vocab[index].T, values.T
+    at = 16
+
+    def column(size: int, width: int) -> np.ndarray:
+        nonlocal at
+        flat = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T)
+        at += size * width
+        return flat.view(f"<u{width}")[:, 0]
+
+    vocab = np.cumsum(column(v, 8), dtype=np.uint64)
+    words = np.stack([vocab[column(rows, 4)] for _ in range(n)], axis=1)
+    return words, np.stack([column(rows, 8) for _ in range(k)], axis=1)
 
 
 def merged(words: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,7 +252,7 @@ def train(spark: SparkSession, texts: DataFrame, order: int = 2, text_col: str =
             stats = {"grams": int((c > 0).sum()), "mass": int(c.sum()), **{f"t{k}": int((c == k).sum()) for k in (1, 2, 3, 4)}}
             if level == 1:
                 stats |= {"tokens": int(values[:, 5].sum()), "vocabulary": int((values[:, 5] > 0).sum())}
-            yield 0, shard, json.dumps(stats).encode()
+            yield -level, shard, json.dumps(stats).encode()
             if level > 1:
                 keep = c > 0
                 words, c = words[keep], c[keep]
@@ -260,7 +267,10 @@ def train(spark: SparkSession, texts: DataFrame, order: int = 2, text_col: str =
             def rows():
                 at, some = None, []
                 for batch in batches:
-                    for shard, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    for of, shard, blob in zip(*[c.to_pylist() for c in batch.columns]):
+                        if of != level:  # sums of a higher level, or raw counts for a lower one: handed on
+                            yield of, shard, blob
+                            continue
                         if shard != at and some:
                             yield from finish(at, some)
                             some = []
@@ -273,23 +283,18 @@ def train(spark: SparkSession, texts: DataFrame, order: int = 2, text_col: str =
 
         return run
 
-    mark = common.scratch_mark()
-    counted = common.cut(spark, raw.mapInArrow(count, _RUN_DDL), "ngram-runs")
-    due, discounts, sums = counted, [], {}
+    # One job: runs go from level to level by shuffle alone, and what is left at its end are the sums of the shards.
+    due = raw.mapInArrow(count, _RUN_DDL)
     for level in range(order, 0, -1):
-        todo = due.where(F.col("level") == level)
-        if level < order:
-            todo = todo.union(counted.where(F.col("level") == level)) if level == 1 else todo
-        n = shards[level - 1]
-        done = todo.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(merge(level), _RUN_DDL)
-        due = common.cut(spark, done, f"level-{level}")
-        fields = ("grams", "mass", "t1", "t2", "t3", "t4", "tokens", "vocabulary")
-        got = due.where("level = 0").select(F.from_json(F.col("run").cast("string"), ", ".join(f"{x} long" for x in fields)).alias("s")).agg(*[F.coalesce(F.sum(f"s.{x}"), F.lit(0)).alias(x) for x in fields]).first()
-        sums = got.asDict()
-        discounts.append(_discounts(*[sums[f"t{k}"] for k in (1, 2, 3, 4)]))
-    common.drop_scratch(spark, common.made_since(mark))
+        due = due.repartition(shards[level - 1], "level", "shard").sortWithinPartitions("level", "shard").mapInArrow(merge(level), _RUN_DDL)
+    fields = ("grams", "mass", "t1", "t2", "t3", "t4", "tokens", "vocabulary")
+    each = due.select("level", F.from_json(F.col("run").cast("string"), ", ".join(f"{x} long" for x in fields)).alias("s"))
+    got = {-r["level"]: r.asDict() for r in each.groupBy("level").agg(*[F.coalesce(F.sum(f"s.{x}"), F.lit(0)).alias(x) for x in fields]).collect()}  # a row a level
+    none = dict.fromkeys(fields, 0)
+    discounts = [_discounts(*[got.get(k, none)[f"t{c}"] for c in (1, 2, 3, 4)]) for k in range(1, order + 1)]
+    sums = got.get(1, none)
     many = sums["grams"] - sums["t1"] - sums["t2"]
-    return Model(where, order, shards, tuple(discounts[::-1]), (sums["mass"], sums["t1"], sums["t2"], many), sums["tokens"], sums["vocabulary"])
+    return Model(where, order, shards, tuple(discounts), (sums["mass"], sums["t1"], sums["t2"], many), sums["tokens"], sums["vocabulary"])
 
 
 def _discounts(t1: int, t2: int, t3: int, t4: int) -> tuple[float, float, float]:
