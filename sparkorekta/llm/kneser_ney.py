@@ -245,7 +245,7 @@ def train(spark: SparkSession, texts: DataFrame, order: int = 2, text_col: str =
             h, words, values = merged(words, values)
             c = values[:, 0]
             base = f"{where}/{level}-{shard:06d}"
-            for name, x in (("keys", h), ("values", values.astype(np.uint32) if values.max(initial=0) < 1 << 32 else values)):
+            for name, x in (("keys", h), ("values", values.astype(np.min_scalar_type(values.max(initial=0))))):
                 with open(tmp := f"{base}.{name}.{os.getpid()}.tmp", "wb") as f:
                     np.save(f, x)
                 common.replace_file(tmp, f"{base}.{name}.npy")
