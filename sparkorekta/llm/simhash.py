@@ -210,55 +210,95 @@ def jaccard_bits(threshold: float, lanes: int) -> int:
     return int(math.acos(2 * threshold / (1 + threshold)) / math.pi * 64 * lanes)
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, threshold: float = 0.8, lanes: int = 16, radius: int = 18, group_rows: int = 8192, slack: float = 0.02) -> DataFrame:
+def _tables(rows: int, threshold: float, bits_all: int, group_rows: int, miss: float) -> tuple[int, int]:
+    """Leading bits and number of tables for a window of so many signatures: groups of about group_rows, and at most
+    a part `miss` of the pairs at the threshold agrees on the leading bits of no table."""
+    bits = max(0, math.ceil(math.log2(max(1, rows) / group_rows)))
+    agree = 1 - math.acos(2 * threshold / (1 + threshold)) / math.pi
+    return (bits, math.ceil(math.log(miss) / math.log(1 - agree**bits))) if bits else (0, 1)
+
+
+def _table_bits(tables: int, bits: int, bits_all: int) -> np.ndarray:
+    """tables x bits positions in the signature; no position is used twice before all are used."""
+    rounds = -(-tables * bits // bits_all)
+    return np.concatenate([np.random.default_rng(k).permutation(bits_all) for k in range(max(1, rounds))])[: tables * bits].reshape(tables, bits)
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, threshold: float = 0.8, lanes: int = 16, group_rows: int = 4096, miss: float = 0.002, slack: float = 0.02) -> DataFrame:
     """doc_id, component_id: groups joined by estimated Jaccard similarity >= threshold of their sets of word shingles.
 
-    A Jaccard similarity of 0.8 moves about 10 (at most 18) of 64 SimHash bits, far more than the radius of
-    near_duplicates(), so candidates within `radius` of lane 0 are confirmed on lanes x 64 bits (standard
-    error near 0.03 at 0.8, hence the slack). Only documents whose set sizes allow the threshold meet: bands
-    of sizes in the ratio 1/threshold are compared with themselves and the next band, block by block of
-    group_rows in Gray order. No pairs leave a task, only a forest of them. Equal fingerprints (exact copies)
-    meet once. Null and empty texts form one group. Texts of fewer than `size` words are their whole sequence.
+    A Jaccard similarity of 0.8 moves about 10 of 64 SimHash bits, far more than the radius of near_duplicates(),
+    so the upper nodes are groups of signatures (lanes x 64 bits) that share a masked bit pattern, under as many
+    masks (tables) as leave at most `miss` of the pairs at the threshold apart; nearer pairs are missed less.
+    The pattern's width follows the logarithm of the rows, so groups keep their size and the work grows a little
+    faster than the input, not with its square. Within a group, members stand in Gray order and are compared on
+    lane 0 and then on all bits (standard error near 0.03 at 0.8, hence the slack). Only documents whose set sizes
+    allow the threshold meet: a window is a band of sizes in the ratio 1/threshold and the next band. A group of
+    over 8 x group_rows is compared block by block, so no task gets more than two blocks. No pairs leave a
+    task, only a forest of them. Equal signatures (exact copies) meet once. Null and empty texts form one group.
+    Texts of fewer than `size` words are their whole sequence.
     """
     wide = common.cut(spark, fingerprints(docs, size, lanes, distinct=True), "wide")
     groups = common.cut(spark, wide.groupBy("wide").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.min("fp").alias("fp"), F.min("n").alias("n")), "wide-groups")
-    nodes = groups.where("rep is not null and n > 0").select("rep", "fp", "wide", "n", F.floor(F.log(F.col("n")) / math.log(1 / threshold)).cast("int").alias("band"))
+    nodes = groups.where("rep is not null and n > 0").select("rep", "wide", "n", F.floor(F.log(F.col("n")) / math.log(1 / threshold)).cast("int").alias("band"))
     sizes = {r["band"]: r["c"] for r in nodes.groupBy("band").agg(F.count("*").alias("c")).collect()}  # at most log(longest text) rows
-    if not sizes:
-        sizes = {0: 1}
-    blocks = F.create_map(*[F.lit(x) for b, c in sizes.items() for x in (b, -(-c // group_rows))])
-    gray = F.col("fp")
-    for s in (1, 2, 4, 8, 16, 32):
-        gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, s))
-    # The block is the part of the Gray-rank range; leading bits are even enough, as hashes fill them.
-    part = F.floor(F.shiftrightunsigned(gray, 33) / F.lit(float(1 << 31)) * F.element_at(blocks, F.col("band"))).cast("int")
-    nodes = nodes.withColumn("block", part)
-    own = F.element_at(blocks, F.col("band"))
-    index = nodes.select("rep", "fp", "wide", "n", F.col("band").alias("gb"), F.col("block").alias("gk"), F.lit(0).alias("kind"))
-    asks = nodes.select("rep", "fp", "wide", "n", F.explode(F.concat(
-        F.transform(F.sequence("block", own - 1), lambda k: F.struct(F.col("band").alias("gb"), k.alias("gk"))),
-        F.when(F.try_element_at(blocks, F.col("band") + 1).isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at(blocks, F.col("band") + 1), F.lit(1)) - 1), lambda k: F.struct((F.col("band") + 1).alias("gb"), k.alias("gk")))).otherwise(F.array().cast("array<struct<gb:int,gk:int>>")),
-    )).alias("g")).select("rep", "fp", "wide", "n", "g.gb", "g.gk", F.lit(1).alias("kind"))
-    bound = jaccard_bits(threshold - slack, lanes)
+    # A window's own band asks, the next band only answers.
+    layout = {b: _tables(c + sizes.get(b + 1, 0), threshold, 64 * lanes, group_rows, miss) for b, c in sizes.items()}
+    bound, far = jaccard_bits(threshold - slack, lanes), min(64, math.ceil(64 * jaccard_bits(threshold - slack, lanes) / (64 * lanes) + 10))
+
+    def keys(batches):
+        masks = {b: _table_bits(t, bits, 64 * lanes) for b, (bits, t) in layout.items()}
+        for batch in batches:
+            band = batch.column(3).to_numpy()
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, 8 * lanes)
+            owner, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for b in np.unique(band):
+                rows = np.flatnonzero(band == b)
+                ones = np.unpackbits(sig[rows], axis=1, bitorder="little")
+                for w in (b, b - 1):
+                    if w in masks:
+                        bits, tables = layout[w]
+                        value = (ones[:, masks[w]].astype(np.int64) << np.arange(bits)).sum(axis=2) if bits else np.zeros((len(rows), tables), np.int64)
+                        packed = (np.int64(w) << 52) + (np.arange(tables, dtype=np.int64) << 40) + value
+                        owner.append(np.repeat(rows, tables))
+                        found.append((packed * 2 + int(w == b)).ravel())
+            owner, found = np.concatenate(owner), np.concatenate(found)
+            ends = np.searchsorted(owner[at := np.argsort(owner, kind="stable")], np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[at], pa.int64()))], names=["rep", "wide", "n", "at"])
+
+    placed = common.cut(spark, nodes.mapInArrow(keys, "rep long, wide binary, n long, at array<long>"), "wide-keys")
+    most = 8 * group_rows
+    crowded = placed.select(F.explode("at").alias("at")).groupBy(F.shiftright("at", 1).alias("key")).agg(F.count("*").alias("c")).where(F.col("c") > most).select("key", F.ceil(F.col("c") / (most // 2)).cast("int").alias("parts"))
+    crowded = common.cut(spark, crowded, "wide-crowded")
+    rows = placed.select("rep", "wide", "n", F.explode("at").alias("at")).select("rep", "wide", "n", F.shiftright("at", 1).alias("key"), F.col("at").bitwiseAND(1).alias("asks")).join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # A cell is a block that asks and a block that answers; a row goes to its blocks' cells in either part (1 asks, 2 answers, 3 both).
+    own, every = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+    asks = F.transform(every, lambda k: F.struct((own * F.col("parts") + k).alias("cell"), F.when(k == own, 3).otherwise(1).alias("role")))
+    answers = F.transform(every, lambda k: F.struct((k * F.col("parts") + own).alias("cell"), F.lit(2).alias("role")))
+    cells = F.when(F.col("asks") == 1, F.concat(asks, F.filter(answers, lambda c: c["cell"] != own * F.col("parts") + own))).otherwise(answers)
+    rows = rows.select("rep", "wide", "n", "key", F.explode(cells).alias("c")).select("rep", "wide", "n", "key", "c.cell", "c.role")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, rep, kind, n = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy(), pdf["kind"].to_numpy(), pdf["n"].to_numpy()
+        rep, role, n = pdf["rep"].to_numpy(), pdf["role"].to_numpy(), pdf["n"].to_numpy()
+        if len(pdf) < 2:
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         sig = np.frombuffer(b"".join(pdf["wide"]), np.uint64).reshape(len(pdf), lanes)
-        members, asks = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        ids, inv = np.unique(rep, return_inverse=True)
-        label, unite = common.forest(len(ids))
-        key = fp[members]
+        order = np.argsort(gray_rank(sig[:, 0]), kind="stable")
+        rep, role, n, sig = rep[order], role[order], n[order], sig[order]
+        members, asks = np.flatnonzero(role & 2), np.flatnonzero(role & 1)
+        label, unite = common.forest(len(rep))
+        key = np.ascontiguousarray(sig[members, 0])
         for s in range(0, len(asks), 256):
             some = asks[s : s + 256]
-            q, m = np.nonzero(np.bitwise_count(fp[some][:, None] ^ key[None, :]) <= radius) if radius > 8 else GrayTree(key).search(fp[some], radius)
+            q, m = np.nonzero(np.bitwise_count(sig[some, 0][:, None] ^ key[None, :]) <= far)
             for t in range(0, len(q), 200_000):
                 a, b = some[q[t : t + 200_000]], members[m[t : t + 200_000]]
-                keep = (rep[a] != rep[b]) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])) & (label()[inv[a]] != label()[inv[b]])
+                keep = (a != b) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])) & (label()[a] != label()[b])
                 a, b = a[keep], b[keep]
                 near = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1, dtype=np.int64) <= bound
-                unite(inv[a[near]], inv[b[near]])
-        return _star(ids, label())
+                unite(a[near], b[near])
+        return _star(rep, label())
 
-    found = common.components(spark, index.unionByName(asks).groupBy("gb", "gk").applyInPandas(search, "a long, b long"))
+    found = common.components(spark, rows.groupBy("key", "cell").applyInPandas(search, "a long, b long"))
     linked = groups.join(found, groups.rep == found.node, "left").where("m > 1 or component is not null").select(F.col("wide").alias("k"), F.coalesce("component", "rep").alias("c"))
     return wide.join(linked, wide.wide == linked.k, "left").select("doc_id", F.coalesce("c", "doc_id").alias("component_id"))
