@@ -103,8 +103,23 @@ def conv_turn_findings(spark, sf_dir):
     return detect.analyze(own, sources=["syntax.comma_space"]).groupBy("role").agg(F.sum(F.size("issues")).alias("n"))
 
 
+def score_by_source(spark, sf_dir):
+    """Every third document counts as correct, so what is found there is a false alarm."""
+    own = _glued(spark, sf_dir)
+    cases = own.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "correct").otherwise("error").alias("role"), F.lit("syntax.comma_space").alias("source"))
+    found = detect.findings(own, sources=["syntax.comma_space"]).select("doc_id", "source", "start", "end", "category", "original", "suggestion")
+    rated = score.source_ratios(score.source_counts(cases, found, found.where("doc_id % 3 <> 0")), 0.0)
+    return rated.select("source", *score.SOURCE_COUNTS, "recall", "span_accuracy", F.round("precision", 9).alias("precision"))
+
+
+def template_distance(spark, sf_dir):
+    """Benchmark items against themselves with words cut and changed."""
+    own = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text", F.replace(F.replace("text", F.lit(" the"), F.lit(" the ")), F.lit(" in"), F.lit(" on")).alias("other"))
+    return own.select("item_id", score.token_distance(score.template_tokens(F.col("text")), score.template_tokens(F.col("other"))).cast("long").alias("distance"))
+
+
 def queries() -> dict:
-    own = [det_comma_space, det_sentence_space, det_duplicate_comma, det_literal_family, det_default_profile, apply_corrections, seg_paragraphs, seg_sentences, find_by_language, score_counts, length_percentiles, leak_exact, leak_template, neardup_jaccard, pii_scan, rule_catalog, conv_turn_findings]
+    own = [det_comma_space, det_sentence_space, det_duplicate_comma, det_literal_family, det_default_profile, apply_corrections, seg_paragraphs, seg_sentences, find_by_language, score_counts, length_percentiles, leak_exact, leak_template, neardup_jaccard, pii_scan, rule_catalog, conv_turn_findings, score_by_source, template_distance]
     return {f.__name__: f for f in own}
 
 
@@ -146,6 +161,14 @@ t AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FR
 g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(length(t) - 4, 1) + 1), lambda i: substr(t, i, 5))) AS g FROM t)
 SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS jaccard FROM g a JOIN g b ON a.doc_id < b.doc_id
 WHERE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.85""",
+        "score_by_source": comma + """, c AS (SELECT count(*) FILTER (doc_id % 3 <> 0) AS e, count(*) FILTER (doc_id % 3 = 0) AS r FROM documents),
+k AS (SELECT count(*) FILTER (doc_id % 3 <> 0) AS tp, count(*) FILTER (doc_id % 3 = 0) AS fp FROM hits)
+SELECT 'syntax.comma_space' AS source, e AS error_cases, r AS correct_cases, tp AS true_positives, fp AS false_positives, CAST(0 AS BIGINT) AS false_negatives, tp AS span_matches, tp AS correction_matches, fp AS false_alarms,
+ CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS span_accuracy, round(tp / (tp + fp), 9) AS precision FROM c, k""",
+        "template_distance": """WITH d AS (SELECT item_id, text, replace(replace(text, ' the', ' the '), ' in', ' on') AS other FROM benchmark),
+t AS (SELECT item_id, regexp_extract_all(text, '<[^>]+>|[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}_\\s]') AS a, regexp_extract_all(other, '<[^>]+>|[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}_\\s]') AS b FROM d),
+u AS (SELECT *, list_distinct(list_concat(a, b)) AS u FROM t)
+SELECT item_id, CAST(levenshtein(array_to_string(list_transform(a, lambda x: chr(32 + list_position(u, x))), ''), array_to_string(list_transform(b, lambda x: chr(32 + list_position(u, x))), '')) AS BIGINT) AS distance FROM u""",
         "conv_turn_findings": f"""WITH p AS (SELECT role, string_split(replace(text, ', ', ','), ',') AS s FROM conversations)
 SELECT role, CAST(sum(len(list_filter(range(2, len(s) + 1), lambda i: regexp_matches(s[i], '^[{L}]') AND NOT regexp_matches(s[i - 1], '[0-9]$')))) AS BIGINT) AS n FROM p GROUP BY role""",
     }

@@ -95,3 +95,24 @@ def test_stream_equals_batch(spark, tmp_path):
     query = correct_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("corrected").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("corrected").collect())) == sorted(map(tuple, correct_stream(df).collect()))
+
+
+def test_source_scores_and_token_distance(spark):
+    from pyspark.sql import functions as F
+
+    kinds = "doc_id long, source string, start int, end int, category string, original string, suggestion string"
+    cases = spark.createDataFrame([(1, "error", "s"), (2, "correct", "s"), (3, "error", "t")], "doc_id long, role string, source string")
+    want = spark.createDataFrame([(1, "s", 0, 1, "p", ",", ", "), (1, "s", 5, 6, "p", ",", ", ")], kinds)
+    got = spark.createDataFrame([(1, "s", 0, 1, "p", ",", ", "), (1, "s", 5, 6, "p", ",", " ,"), (2, "s", 0, 1, "p", ",", ", ")], kinds)
+    rated = score.source_ratios(score.source_counts(cases, got, want))
+    r = {x.source: x for x in rated.collect()}
+    assert [r["s"][c] for c in score.SOURCE_COUNTS] == [1, 1, 1, 2, 1, 2, 1, 1] and r["s"].false_alarm_rate == 1.0
+    assert r["t"].precision is None and r["t"].error_cases == 1
+    policy = spark.createDataFrame([("s", 0.9, False), ("t", 0.9, False)], "source string, emitted_confidence double, insufficient boolean")
+    sure = got.withColumn("confidence", F.lit(0.9))
+    of = lambda floor: {x.source: x.verdict for x in score.verdicts(rated, sure, policy, {"recall": floor}, 1.0, 1, 1).collect()}
+    assert of(0.5) == {"s": "candidate", "t": "insufficient_evidence"} and of(0.6)["s"] == "fail_threshold"
+    rows = [("a b c", "a c", 1), ("<num> kotów, tak", "<num> psów, tak", 1), ("", "x y", 2), ("a b", "b a", 2), (None, "x", None)]
+    df = spark.createDataFrame(rows, "a string, b string, d int")
+    own = df.select("d", score.token_distance(score.template_tokens(F.col("a")), score.template_tokens(F.col("b"))).alias("got"))
+    assert all(x.got == x.d for x in own.collect())
