@@ -211,3 +211,20 @@ def test_classifiers(spark):
     kept = {r.doc_id: r for r in quality.score(spark, docs, quality.train(spark, docs, labels)).collect()}
     assert len(kept) == 503 and sum(kept[r[0]].keep == (r[0] not in range(1000, 2000)) for r in [*good, *bad, *rude]) >= 495
     assert toxicity.score(spark, docs, toxicity.train(spark, docs, labels.limit(0))).where(F.col("score") != 0.5).count() == 0
+
+
+def test_similar_groups_by_tables_equals_one_table(spark):
+    """Narrow groups (several tables, crowded groups cut into cells) find what one group of all rows finds."""
+    import random
+
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    base = [[r.choice(words) for _ in range(120)] for _ in range(160)]
+    near = [[*b[:k], "changed", *b[k + 1 :]] for b in base[:40] for k in (r.randrange(120),)]
+    crowd = [[*base[0][:k], f"x{k}", *base[0][k + 1 :]] for k in range(0, 120)]
+    rows = [(n, " ".join(t)) for n, t in enumerate([*base, *near, *crowd, base[3], []])] + [(None, "a b c"), (900, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = lambda n: {x.doc_id: x.component_id for x in simhash.similar_groups(spark, docs, group_rows=n).collect()}
+    whole, cut = of(100_000), of(8)
+    assert simhash._tables(300, 0.8, 1024, 8, 0.002)[1] > 10
+    assert cut == whole and all(whole[160 + k] == k for k in range(1, 40)) and {whole[200 + k] for k in range(120)} == {0}
