@@ -12,7 +12,10 @@ pair of groups). Below that, a task holds one group and searches it.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import os
+import uuid
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -224,23 +227,227 @@ def _table_bits(tables: int, bits: int, bits_all: int) -> np.ndarray:
     return np.concatenate([np.random.default_rng(k).permutation(bits_all) for k in range(max(1, rounds))])[: tables * bits].reshape(tables, bits)
 
 
+class Sets:
+    """Sorted shingle hashes of documents in files of a shared folder, mapped by the workers; a set is known by file, offset and size."""
+
+    def __init__(self, folder: str):
+        self.folder, self.open = folder, {}
+
+    def map(self, name, kind=np.uint64) -> np.ndarray:
+        if name not in self.open:
+            path = f"{self.folder}/{name}"
+            self.open[name] = np.memmap(path, kind, "r").view(np.ndarray) if os.path.getsize(path) else np.empty(0, kind)
+        return self.open[name]
+
+    def get(self, file: int, off: int, n: int) -> np.ndarray:
+        return self.map(int(file))[off : off + n]
+
+    def similar(self, at: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether the sets at rows a and b of `at` (file, offset, size) have a Jaccard similarity of threshold, exactly."""
+        out = np.empty(len(a), bool)
+        for k, (i, j) in enumerate(zip(a, b)):
+            x, y = self.get(*at[i]), self.get(*at[j])
+            both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+            out[k] = both + 1e-9 >= threshold * (len(x) + len(y) - both)
+        return out
+
+
+def _verify(sets: Sets, at: np.ndarray, a: np.ndarray, b: np.ndarray, node: np.ndarray, label, unite, threshold: float, chunk: int = 2048) -> None:
+    """Unites the nodes of the pairs (rows a, b) that are similar; pairs whose nodes others have joined are not read."""
+    while len(a):
+        apart = label()[node[a]] != label()[node[b]]
+        a, b = a[apart], b[apart]
+        some, other = a[:chunk], b[:chunk]
+        near = sets.similar(at, some, other, threshold)
+        unite(node[some[near]], node[other[near]])
+        a, b = a[chunk:], b[chunk:]
+
+
+def shingle_sets(docs: DataFrame, folder: str, size: int, lanes: int) -> DataFrame:
+    """doc_id, key (digest of the shingle set), fp, n (distinct shingles), wide, file, off: where the sorted set stands under folder."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("fp", pa.int64()), ("n", pa.int64()), ("wide", pa.binary()), ("file", pa.int64()), ("off", pa.int64())])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        # A repeated task writes a file of its own, so rows and file always belong together.
+        os.makedirs(folder, exist_ok=True)
+        file, off = TaskContext.get().taskAttemptId(), 0
+        with open(f"{folder}/{file}", "wb") as out:
+            for whole in batches:
+                for first in range(0, whole.num_rows, common.SLICE_ROWS):
+                    batch = whole.slice(first, common.SLICE_ROWS)
+                    rows = []
+                    for text in batch.column(1).to_pylist():
+                        h = np.unique(shingle_hashes(text, size))
+                        sig, raw = signature(h, lanes), h.tobytes()
+                        rows.append((hashlib.blake2b(raw, digest_size=16).digest(), int(sig[:1].view(np.int64)[0]), len(h), sig.tobytes(), file, off))
+                        out.write(raw)
+                        off += len(h)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:])]], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes("text").alias("b")).mapInArrow(run, "doc_id long, key binary, fp long, n long, wide binary, file long, off long")
+
+
+def _shared_shingles(nodes: DataFrame, folder: str, bits: int) -> None:
+    """Writes the shingles that two sets or more hold: sorted hashes and counts, a file for each of 2**bits ranges of hashes."""
+
+    def shard_of(h):
+        return h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64)
+
+    def count(batches):
+        sets = Sets(folder)
+
+        def packed(held):
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(shard_of(h), np.arange((1 << bits) + 1))
+            full = [k for k in range(1 << bits) if cuts[k] < cuts[k + 1]]
+            parts = [(k, h[cuts[k] : cuts[k + 1]].tobytes(), c[cuts[k] : cuts[k + 1]].astype(np.uint32).tobytes()) for k in full]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts), (pa.int32(), pa.binary(), pa.binary()))], names=["shard", "h", "c"])
+
+        held, size = [], 0
+        for batch in batches:
+            for where in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                held.append(sets.get(*where))
+                size += where[2]
+                if size > 1_000_000:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["shard"].iloc[0])
+        h, at = np.unique(np.frombuffer(b"".join(pdf["h"]), np.uint64), return_inverse=True)
+        c = np.bincount(at, np.frombuffer(b"".join(pdf["c"]), np.uint32)).astype(np.int64)
+        for name, values in ((f"h{shard}", h[c > 1]), (f"c{shard}", c[c > 1])):
+            tmp = f"{folder}/{name}-{uuid.uuid4().hex}"
+            values.tofile(tmp)
+            common.replace_file(tmp, f"{folder}/{name}")
+        return pd.DataFrame({"shard": [shard]})
+
+    nodes.select("file", "off", "n").mapInArrow(count, "shard int, h binary, c binary").groupBy("shard").applyInPandas(merge, "shard int").count()
+
+
+def _prefix_rows(nodes: DataFrame, folder: str, bits: int, threshold: float) -> DataFrame:
+    """key, pos, comp, n, file, off: the shingles of each set's prefix that another set holds too, and their positions.
+
+    In one order of all shingles (rarest first), sets with a similarity of the threshold share one of their first
+    n - ceil(threshold n) + 1; a shingle of one set alone matches nothing.
+    """
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "pos", "comp", "n", "file", "off")])
+
+    def run(batches):
+        sets = Sets(folder)
+
+        def rows(docs):
+            h = np.concatenate([sets.get(*d[:3]) for d in docs])
+            order = np.argsort(h)
+            sorted_, c = h[order], np.zeros(len(h), np.int64)
+            shard = sorted_ >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64)
+            cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
+            for k in range(1 << bits):
+                if cuts[k] < cuts[k + 1] and os.path.exists(f"{folder}/h{k}") and len(known := sets.map(f"h{k}")):
+                    q = sorted_[cuts[k] : cuts[k + 1]]
+                    at = np.minimum(np.searchsorted(known, q), len(known) - 1)
+                    c[order[cuts[k] : cuts[k + 1]]] = np.where(known[at] == q, sets.map(f"c{k}", np.int64)[at], 0)
+            start, out = 0, []
+            for file, off, n, comp in docs:
+                own, count = h[start : start + n], c[start : start + n]
+                start += n
+                prefix, single = n - math.ceil(threshold * n - 1e-9) + 1, int((count == 0).sum())
+                if single < prefix:
+                    first = np.lexsort((own, count))[single:prefix]
+                    out.append(np.stack([own[first].view(np.int64), np.arange(single, single + len(first)), *[np.full(len(first), x) for x in (comp, n, file, off)]]))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], schema=schema) if out else None
+
+        held, size = [], 0
+        for batch in batches:
+            for d in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+                held.append(d)
+                size += d[2]
+                if size > 500_000:
+                    if (found := rows(held)) is not None:
+                        yield found
+                    held, size = [], 0
+        if held and (found := rows(held)) is not None:
+            yield found
+
+    return nodes.select("file", "off", "n", "comp").mapInArrow(run, "key long, pos long, comp long, n long, file long, off long")
+
+
+def prefix_links(spark: SparkSession, nodes: DataFrame, folder: str, threshold: float, shard_shingles: int = 2_000_000, crowd: int = 16_384, bucket_rows: int = 20_000) -> DataFrame:
+    """Edges a, b that join all components (comp) of which two sets have an exact Jaccard similarity >= threshold.
+
+    nodes: comp, n, file, off. An exact join: whatever shares a shingle of its prefix meets, unless one component
+    already holds all of that shingle's sets, and is ruled out only by size, position or the sets themselves.
+    """
+    bits = max(0, math.ceil(math.log2(max(1, (nodes.agg(F.sum("n")).first()[0] or 0) / shard_shingles))))
+    _shared_shingles(nodes, folder, bits)
+    rows = common.cut(spark, _prefix_rows(nodes, folder, bits, threshold), "prefixes")
+    open_ = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low < high").select("key", F.when(F.col("c") > crowd, F.ceil(F.col("c") / (crowd // 2))).otherwise(1).cast("int").alias("parts"))
+    rows = common.cut(spark, rows.join(open_, "key"), "prefixes-open")
+    buckets = max(1, rows.count() // bucket_rows)
+    # A crowded shingle's sets are cut into blocks; a cell holds one block or two, of which then only pairs across them are compared.
+    own = F.pmod(F.xxhash64("file", "off"), F.col("parts")).cast("int")
+    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, own) * F.col("parts") + F.greatest(k, own))
+    rows = rows.withColumn("block", own).withColumn("cell", F.explode(every))
+    rows = rows.withColumn("bucket", F.when(F.col("parts") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets))))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", kind="stable")
+        key, pos, n, block = (pdf[c].to_numpy() for c in ("key", "pos", "n", "block"))
+        across = (pdf["cell"] // pdf["parts"] != pdf["cell"] % pdf["parts"]).to_numpy()
+        ids, node = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
+        at, sets = pdf[["file", "off", "n"]].to_numpy(), Sets(folder)
+        label, unite = common.forest(len(ids))
+        held, size = [], 0
+        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            step = max(1, 1_000_000 // (hi - lo))
+            for s in range(lo, hi, step):
+                a, b = np.meshgrid(np.arange(s, min(hi, s + step)), np.arange(s + 1, hi), indexing="ij")
+                a, b = a.ravel(), b.ravel()
+                # Overlap at most: what stands from this shingle on, and before it as many as either has.
+                most = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])
+                keep = (b > a) & (label()[node[a]] != label()[node[b]]) & (most + 1e-6 >= threshold / (1 + threshold) * (n[a] + n[b]))
+                keep &= np.minimum(n[a], n[b]) + 1e-6 >= threshold * np.maximum(n[a], n[b])
+                keep &= ~across[a] | (block[a] != block[b])
+                held.append((a[keep], b[keep]))
+                size += int(keep.sum())
+                if size > 200_000:
+                    _verify(sets, at, *map(np.concatenate, zip(*held)), node, label, unite, threshold)
+                    held, size = [], 0
+        if held:
+            _verify(sets, at, *map(np.concatenate, zip(*held)), node, label, unite, threshold)
+        return _star(ids, label())
+
+    return rows.groupBy("bucket", "cell").applyInPandas(search, "a long, b long")
+
+
 def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, threshold: float = 0.8, lanes: int = 16, group_rows: int = 4096, miss: float = 0.002, slack: float = 0.02) -> DataFrame:
-    """doc_id, component_id: groups joined by estimated Jaccard similarity >= threshold of their sets of word shingles.
+    """doc_id, component_id: groups joined by Jaccard similarity >= threshold of their sets of word shingles, exactly.
+
+    Signatures make candidates, each is checked by the shingle sets themselves (64-bit hashes), and an exact
+    prefix-filter join of what the signatures left apart finds the rest, so `miss` and `slack` set the work of
+    the first step and not the result. The sets stand in files of spark.checkpoint.dir, which all workers must mount.
 
     A Jaccard similarity of 0.8 moves about 10 of 64 SimHash bits, far more than the radius of near_duplicates(),
     so the upper nodes are groups of signatures (lanes x 64 bits) that share a masked bit pattern, under as many
     masks (tables) as leave at most `miss` of the pairs at the threshold apart; nearer pairs are missed less.
     The pattern's width follows the logarithm of the rows, so groups keep their size and the work grows a little
     faster than the input, not with its square. Within a group, members stand in Gray order and are compared on
-    lane 0 and then on all bits (standard error near 0.03 at 0.8, hence the slack). Only documents whose set sizes
+    lane 0, on all bits and then by their sets. Only documents whose set sizes
     allow the threshold meet: a window is a band of sizes in the ratio 1/threshold and the next band. A group of
     over 8 x group_rows is compared block by block, so no task gets more than two blocks. No pairs leave a
     task, only a forest of them. Equal signatures (exact copies) meet once. Null and empty texts form one group.
     Texts of fewer than `size` words are their whole sequence.
     """
-    wide = common.cut(spark, fingerprints(docs, size, lanes, distinct=True), "wide")
-    groups = common.cut(spark, wide.groupBy("wide").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.min("fp").alias("fp"), F.min("n").alias("n")), "wide-groups")
-    nodes = groups.where("rep is not null and n > 0").select("rep", "wide", "n", F.floor(F.log(F.col("n")) / math.log(1 / threshold)).cast("int").alias("band"))
+    folder = common.local_path(common.scratch(spark, "shingles"))
+    wide = common.cut(spark, shingle_sets(docs, folder, size, lanes), "wide")
+    groups = wide.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.min(F.struct("n", "wide", "file", "off")).alias("s")).select("key", "rep", "m", "s.*")
+    groups = common.cut(spark, groups, "wide-groups")
+    nodes = groups.where("rep is not null and n > 0").select("rep", "wide", "n", "file", "off", F.floor(F.log(F.col("n")) / math.log(1 / threshold)).cast("int").alias("band"))
     sizes = {r["band"]: r["c"] for r in nodes.groupBy("band").agg(F.count("*").alias("c")).collect()}  # at most log(longest text) rows
     # A window's own band asks, the next band only answers.
     layout = {b: _tables(c + sizes.get(b + 1, 0), threshold, 64 * lanes, group_rows, miss) for b, c in sizes.items()}
@@ -249,7 +456,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, threshol
     def keys(batches):
         masks = {b: _table_bits(t, bits, 64 * lanes) for b, (bits, t) in layout.items()}
         for batch in batches:
-            band = batch.column(3).to_numpy()
+            band = batch.column(5).to_numpy()
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, 8 * lanes)
             owner, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for b in np.unique(band):
@@ -264,19 +471,19 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, threshol
                         found.append((packed * 2 + int(w == b)).ravel())
             owner, found = np.concatenate(owner), np.concatenate(found)
             ends = np.searchsorted(owner[at := np.argsort(owner, kind="stable")], np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[at], pa.int64()))], names=["rep", "wide", "n", "at"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[at], pa.int64()))], names=["rep", "wide", "n", "file", "off", "at"])
 
-    placed = common.cut(spark, nodes.mapInArrow(keys, "rep long, wide binary, n long, at array<long>"), "wide-keys")
+    placed = common.cut(spark, nodes.mapInArrow(keys, "rep long, wide binary, n long, file long, off long, at array<long>"), "wide-keys")
     most = 8 * group_rows
     crowded = placed.select(F.explode("at").alias("at")).groupBy(F.shiftright("at", 1).alias("key")).agg(F.count("*").alias("c")).where(F.col("c") > most).select("key", F.ceil(F.col("c") / (most // 2)).cast("int").alias("parts"))
     crowded = common.cut(spark, crowded, "wide-crowded")
-    rows = placed.select("rep", "wide", "n", F.explode("at").alias("at")).select("rep", "wide", "n", F.shiftright("at", 1).alias("key"), F.col("at").bitwiseAND(1).alias("asks")).join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = placed.select("rep", "wide", "n", "file", "off", F.explode("at").alias("at")).select("rep", "wide", "n", "file", "off", F.shiftright("at", 1).alias("key"), F.col("at").bitwiseAND(1).alias("asks")).join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     # A cell is a block that asks and a block that answers; a row goes to its blocks' cells in either part (1 asks, 2 answers, 3 both).
     own, every = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
     asks = F.transform(every, lambda k: F.struct((own * F.col("parts") + k).alias("cell"), F.when(k == own, 3).otherwise(1).alias("role")))
     answers = F.transform(every, lambda k: F.struct((k * F.col("parts") + own).alias("cell"), F.lit(2).alias("role")))
     cells = F.when(F.col("asks") == 1, F.concat(asks, F.filter(answers, lambda c: c["cell"] != own * F.col("parts") + own))).otherwise(answers)
-    rows = rows.select("rep", "wide", "n", "key", F.explode(cells).alias("c")).select("rep", "wide", "n", "key", "c.cell", "c.role")
+    rows = rows.select("rep", "wide", "n", "file", "off", "key", F.explode(cells).alias("c")).select("rep", "wide", "n", "file", "off", "key", "c.cell", "c.role")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         rep, role, n = pdf["rep"].to_numpy(), pdf["role"].to_numpy(), pdf["n"].to_numpy()
@@ -285,6 +492,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, threshol
         sig = np.frombuffer(b"".join(pdf["wide"]), np.uint64).reshape(len(pdf), lanes)
         order = np.argsort(gray_rank(sig[:, 0]), kind="stable")
         rep, role, n, sig = rep[order], role[order], n[order], sig[order]
+        at, node, sets = pdf[["file", "off", "n"]].to_numpy()[order], np.arange(len(rep)), Sets(folder)
         members, asks = np.flatnonzero(role & 2), np.flatnonzero(role & 1)
         label, unite = common.forest(len(rep))
         key = np.ascontiguousarray(sig[members, 0])
@@ -296,9 +504,12 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, threshol
                 keep = (a != b) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])) & (label()[a] != label()[b])
                 a, b = a[keep], b[keep]
                 near = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1, dtype=np.int64) <= bound
-                unite(a[near], b[near])
+                _verify(sets, at, a[near], b[near], node, label, unite, threshold)
         return _star(rep, label())
 
     found = common.components(spark, rows.groupBy("key", "cell").applyInPandas(search, "a long, b long"))
-    linked = groups.join(found, groups.rep == found.node, "left").where("m > 1 or component is not null").select(F.col("wide").alias("k"), F.coalesce("component", "rep").alias("c"))
-    return wide.join(linked, wide.wide == linked.k, "left").select("doc_id", F.coalesce("c", "doc_id").alias("component_id"))
+    joined = groups.where("rep is not null").join(found, groups.rep == found.node, "left").select("key", "m", "n", "file", "off", F.coalesce("component", "rep").alias("comp"))
+    joined = common.cut(spark, joined, "wide-joined")
+    rest = common.components(spark, prefix_links(spark, joined.where("n > 0"), folder, threshold))
+    linked = joined.join(rest, joined.comp == rest.node, "left").select(F.col("key").alias("k"), F.coalesce("component", "comp").alias("c"))
+    return wide.join(linked, wide.key == linked.k, "left").select("doc_id", F.coalesce("c", "doc_id").alias("component_id"))

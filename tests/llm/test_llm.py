@@ -228,3 +228,23 @@ def test_similar_groups_by_tables_equals_one_table(spark):
     whole, cut = of(100_000), of(8)
     assert simhash._tables(300, 0.8, 1024, 8, 0.002)[1] > 10
     assert cut == whole and all(whole[160 + k] == k for k in range(1, 40)) and {whole[200 + k] for k in range(120)} == {0}
+
+
+def test_similar_groups_equals_exact_jaccard(spark):
+    """Pairs just at, over and under a Jaccard similarity of 0.8, short and long, against the sets themselves."""
+    r, rows = random.Random(3), []
+
+    def fresh(n):
+        return [f"v{r.randrange(10**9)}" for _ in range(n)]
+
+    for words, cut in [(9, 1), (19, 3), (10, 1), (11, 1), (104, 20), (454, 90), (454, 98), (454, 105), (34, 7)] * 12:
+        base = fresh(words)
+        rows += [" ".join(base), " ".join(base[:-cut])]
+    hub = fresh(30)  # many texts that hold a long common passage and differ by the rest
+    rows += [" ".join([*hub, *fresh(k % 9)]) for k in range(60)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for t in rows]
+    want = groups_of(len(rows), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")
+    for group_rows in (4096, 8):
+        got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark, docs, group_rows=group_rows).collect()}
+        assert [got[k] for k in range(len(rows))] == want
