@@ -1,14 +1,15 @@
 """Benchmark decontamination by canonical templates, in DataFrame functions alone.
 
 Numbers, names and units become typed placeholders, so a question with other values has the same template.
-Windows of five template tokens are hashed and joined with those of the benchmark; an item is found in a
-document that holds half of its distinct windows or more, if what fills its slots agrees: a value of the
-item stands for one value in the document wherever it recurs.
+Windows of five template tokens are hashed and joined with those of the benchmark. What matches is judged by
+occurrence, that is by where in the document the item would begin: what fills its slots must agree there (a
+value of the item stands for one value in this occurrence wherever it recurs). An item is found in a document
+whose agreeing occurrences hold half of its distinct windows or more.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -63,14 +64,14 @@ def _literals(tokens: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the items: item_id, wpos, h, slots array<struct<at, value>>; and item_id, n_windows (distinct)."""
+    """Of the items: item_id, wpos, h of windows with literals; and item_id, tokens, typed, n_windows (distinct), n_places."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
     items = common.once(common.once(items, "tokens", marked_tokens(F.col("text"))), "typed", template(F.col("tokens")))
     each = items.select("item_id", "tokens", "typed", F.posexplode(windows(F.col("typed"))).alias("wpos", "h"))
     span = F.slice("typed", F.col("wpos") + 1, WINDOW)
-    slots = F.filter(F.transform(span, lambda w, k: F.struct(k.alias("at"), F.when(w.startswith("#"), F.element_at("tokens", F.col("wpos") + k + 1)).alias("value"))), lambda s: s.value.isNotNull())
-    each = each.where(_literals(span) >= F.least(F.lit(LITERALS), F.size(span))).select("item_id", "wpos", "h", slots.alias("slots"))
-    return each, each.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
+    each = each.where(_literals(span) >= F.least(F.lit(LITERALS), F.size(span))).select("item_id", "wpos", "h")
+    sizes = each.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"), F.countDistinct("wpos").alias("n_places"))
+    return each, items.select("item_id", "tokens", "typed").join(sizes, "item_id")
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -80,28 +81,41 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     document; rows without doc_id are left out. Null and empty texts and items match nothing. Items with equal
     texts are each found. Other columns are ignored.
     """
-    each, sizes = benchmark_windows(benchmark)
-    each = common.cut(spark, each, "benchmark-windows")
-    sizes = common.cut(spark, each.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows")), "benchmark-sizes")
+    each, items = benchmark_windows(benchmark)
+    each = common.cut(spark, each.withColumn("rank", F.dense_rank().over(Window.partitionBy("item_id").orderBy("wpos"))), "benchmark-windows")
+    items = common.cut(spark, items, "benchmark-items")
     small = each.count() <= BROADCAST_WINDOWS
-    keys = each.select("item_id", "h").distinct()
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     typed = common.once(common.once(own, "tokens", marked_tokens(F.col("text"))).select("doc_id", "tokens"), "typed", template(F.col("tokens")))
-    seen = typed.select("doc_id", F.explode(windows(F.col("typed"))).alias("h"))
-    hits = seen.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "item_id", "h").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
-    hits = hits.join(F.broadcast(sizes) if small else sizes, "item_id").select("doc_id", "item_id", (F.col("n") / F.col("n_windows")).alias("coverage")).where(F.col("coverage") >= COVERAGE)
-    hits = common.cut(spark, hits, "benchmark-hits")
-    slotted = each.where(F.size("slots") > 0).select("item_id", F.col("h").alias("k"), "slots")
-    asked = hits.join(slotted.select("item_id").distinct(), "item_id", "left_semi")
-    # What fills the slots is read again from the few documents that hold such an item.
-    texts = common.once(own.join(asked.select("doc_id").distinct(), "doc_id", "left_semi"), "tokens", marked_tokens(F.col("text"))).select("doc_id", "tokens")
-    places = common.once(texts, "typed", template(F.col("tokens"))).select("doc_id", "tokens", F.posexplode(windows(F.col("typed"))).alias("pos", "k"))
-    filled = places.join(asked, "doc_id").join(slotted, ["item_id", "k"])
-    pairs = filled.select("doc_id", "item_id", F.explode(F.transform("slots", lambda s: F.struct(s.value.alias("given"), F.element_at("tokens", F.col("pos") + s.at + 1).alias("found")))).alias("p"))
-    counted = pairs.groupBy("doc_id", "item_id", "p.given", "p.found").agg(F.count("*").alias("n"))
-    best = counted.groupBy("doc_id", "item_id", "given").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    agree = best.groupBy("doc_id", "item_id").agg((F.sum("best") / F.sum("n")).alias("agreement"))
-    return hits.join(agree, ["doc_id", "item_id"], "left").select("doc_id", "item_id", "coverage", F.coalesce("agreement", F.lit(1.0)).alias("agreement")).where(F.col("agreement") >= AGREEMENT)
+    seen = typed.select("doc_id", F.posexplode(windows(F.col("typed"))).alias("pos", "h"))
+    hits = seen.join(F.broadcast(each) if small else each, "h").groupBy("doc_id", "item_id", (F.col("pos") - F.col("wpos")).alias("shift"))
+    hits = common.cut(spark, hits.agg(F.collect_set("h").alias("held"), F.sort_array(F.collect_set("rank")).alias("ranks")), "benchmark-hits")
+    # What stands at the item's places is read again from the few documents that hold a window of one.
+    texts = common.once(own.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), "tokens", marked_tokens(F.col("text"))).select("doc_id", "tokens")
+    texts = common.once(texts, "typed", template(F.col("tokens")))
+    asked = items.select("item_id", F.col("tokens").alias("given"), F.col("typed").alias("form"), "n_windows", "n_places", F.size("typed").alias("n"))
+    lined = texts.join(hits.join(F.broadcast(asked) if small else asked, "item_id"), "doc_id")
+    same = F.transform("form", lambda w, i: F.coalesce(F.get("typed", i + F.col("shift")) == w, F.lit(False)))
+    lined = common.once(lined, "same", same)
+    # A lone equal word between others is chance.
+    sure = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("same", i) & ((F.col("n") == 1) | F.coalesce(F.get("same", i - 1), F.lit(False)) | F.coalesce(F.get("same", i + 1), F.lit(False))))
+    cells = F.transform(sure, lambda i: F.struct(i.alias("i"), F.when(F.get("form", i).startswith("#"), F.get("given", i)).alias("given"), F.get("tokens", i + F.col("shift")).alias("found")))
+    lined = common.once(lined, "cells", cells)
+    # An occurrence is one alignment (2), or all that begin within an item's length (0, and 1 half a length on): words put in or left out move the rest.
+    step = F.col("shift") / F.col("n")
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.floor(step).alias("at")), F.struct(F.lit(1).alias("kind"), F.floor(step + 0.5).alias("at")), F.struct(F.lit(2).alias("kind"), F.col("shift").cast("long").alias("at")))
+    lined = lined.select("doc_id", "item_id", "shift", "held", "ranks", "n", "n_windows", "n_places", "cells", F.size("cells").alias("m"), F.explode(kinds).alias("where"))
+    lined = common.cut(spark, lined, "benchmark-lined")
+    key = ["doc_id", "item_id", "where"]
+    # Of several alignments in an occurrence, that with the most equal words fills a place.
+    filled = lined.select(*key, "m", "shift", F.explode("cells").alias("c")).groupBy(*key, "c.i").agg(F.max_by("c", F.struct("m", "shift")).alias("c"))
+    filled = common.cut(spark, filled.select(*key, "c.given", "c.found"), "benchmark-filled")
+    counted = filled.where("given is not null").groupBy(*key, "given", "found").agg(F.count("*").alias("n"))
+    best = counted.groupBy(*key, "given").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
+    agree = best.groupBy(*key).agg((F.sum("best") / F.sum("n")).alias("agreement"))
+    judged = lined.join(agree, key, "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).where(F.col("agreement") >= AGREEMENT)
+    found = judged.groupBy("doc_id", "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_set("held")))) / F.first("n_windows")).alias("coverage"), F.max("agreement").alias("agreement"))
+    return found.where(F.col("coverage") >= COVERAGE).select("doc_id", "item_id", "coverage", "agreement")
 
 
 def flag(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

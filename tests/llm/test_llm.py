@@ -248,3 +248,15 @@ def test_similar_groups_equals_exact_jaccard(spark):
     for group_rows in (4096, 8):
         got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark, docs, group_rows=group_rows).collect()}
         assert [got[k] for k in range(len(rows))] == want
+
+
+def test_decontamination_judges_each_occurrence(spark):
+    item = "a train leaves at 10 km from Paris and meets the other train after 20 minutes near Paris on monday evening"
+    other = item.replace("10", "35").replace("Paris", "London").replace("20", "7")
+    phrase = "the cost is 10 and the cost is 20 and the cost is 30"
+    again = "swap 5 for 5 and then 5 for 5 and once more 5 for 5 today"
+    far = " ".join(f"filler{k} and meets the other train after {k} minutes near Oslo on" for k in range(40))
+    rows = [(1, f"{item} {other}"), (2, f"first {other} then {item.replace('Paris', 'Madrid')} end"), (3, phrase), (4, f"{item} {far}"), (5, "swap 1 for 2 and then 3 for 4 and once more 6 for 7 today"), (6, far)]
+    bench = spark.createDataFrame([(9, item), (10, phrase), (11, again)], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.flag(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got[1] == [9] and got[2] == [9] and got[3] == [10] and got[4] == [9] and got[5] == []
