@@ -4,7 +4,9 @@ Numbers, names and units become typed placeholders, so a question with other val
 Windows of five template tokens are hashed and joined with those of the benchmark. What matches is judged by
 occurrence, that is by where in the document the item would begin: what fills its slots must agree there (a
 value of the item stands for one value in this occurrence wherever it recurs). An item is found in a document
-whose agreeing occurrences hold half of its distinct windows or more.
+whose agreeing occurrences hold half of its distinct windows or more,
+hold a run of 13 of its tokens in one alignment (shorter items: all of it), or hold most of its words in
+one place with few edits between.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from . import common
 WINDOW = 5
 #: Share of an item's distinct windows that a document must hold, and share of slots that must agree.
 COVERAGE, AGREEMENT = 0.5, 0.8
+#: Tokens in a row that tell an item whatever its length, and share of its words in one place that does.
+RUN, WORDS = 13, 0.8
 #: A window of placeholders alone says nothing: it needs this many literal tokens (short sequences: all they have).
 LITERALS = 2
 #: Benchmark windows that are broadcast at most (24 bytes each); more are joined by shuffle.
@@ -113,9 +117,12 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     counted = filled.where("given is not null").groupBy(*key, "given", "found").agg(F.count("*").alias("n"))
     best = counted.groupBy(*key, "given").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
     agree = best.groupBy(*key).agg((F.sum("best") / F.sum("n")).alias("agreement"))
-    judged = lined.join(agree, key, "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).where(F.col("agreement") >= AGREEMENT)
-    found = judged.groupBy("doc_id", "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_set("held")))) / F.first("n_windows")).alias("coverage"), F.max("agreement").alias("agreement"))
-    return found.where(F.col("coverage") >= COVERAGE).select("doc_id", "item_id", "coverage", "agreement")
+    held = filled.groupBy(*key).agg(F.count("*").alias("words"))
+    need = F.least(F.lit(RUN - WINDOW + 1), F.col("n_places"))
+    run = F.exists(F.sequence(F.lit(0), F.size("ranks") - 1), lambda k: F.coalesce(F.get("ranks", (k + need - 1).cast("int")) - F.get("ranks", k) == need - 1, F.lit(False)))
+    judged = lined.join(agree, key, "left").join(held, key).withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).where(F.col("agreement") >= AGREEMENT)
+    found = judged.groupBy("doc_id", "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_set("held")))) / F.first("n_windows")).alias("coverage"), F.max("agreement").alias("agreement"), F.max(F.when(F.col("where.kind") == 2, run).otherwise(F.lit(False)) | (F.col("words") >= WORDS * F.col("n"))).alias("whole"))
+    return found.where((F.col("coverage") >= COVERAGE) | F.col("whole")).select("doc_id", "item_id", "coverage", "agreement")
 
 
 def flag(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

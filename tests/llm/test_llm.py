@@ -260,3 +260,15 @@ def test_decontamination_judges_each_occurrence(spark):
     bench = spark.createDataFrame([(9, item), (10, phrase), (11, again)], "item_id long, text string")
     got = {r.doc_id: r.item_ids for r in decontaminate.flag(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got[1] == [9] and got[2] == [9] and got[3] == [10] and got[4] == [9] and got[5] == []
+
+
+def test_decontamination_of_excerpts_and_edited_items(spark):
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(59)]
+    long, short = " ".join(words), " ".join(f"term{chr(97 + k)}" for k in range(16))
+    s = short.split()
+    edited = " ".join([*s[:5], "other", *s[6:10], "changed", *s[11:]])
+    moved = " ".join([*s[:5], "put", *s[5:10], *s[11:]])
+    rows = [(1, f"before {' '.join(words[20:47])} after"), (2, f"before {edited} after"), (3, f"before {moved} after"), (4, f"x {' '.join(words[:13])} y"), (5, f"x {' '.join(words[:11])} y"), (6, f"x {' '.join(s[:5])} y")]
+    bench = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.flag(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [2], 4: [1], 5: [], 6: []}
