@@ -24,9 +24,15 @@ BITS = 18
 #: Labelled and unlabelled documents of the training sample at most (about), co-training rounds, and the share of the unlabelled ones a view passes on in a round.
 TRAIN_DOCS, UNLABELLED_DOCS, ROUNDS, PASSED = 6_000, 3_000, 3, 0.1
 _SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
+_NO_CAPITALS = bytes(b for b in range(256) if not 65 <= b <= 90)
 _RUN = re.compile(rb"([a-zA0])\1+")
 
 
+def capitals(text: str) -> int:
+    """Upper-case letters of the whole text."""
+    return len(text.encode().translate(None, _NO_CAPITALS)) if text.isascii() else sum(map(str.isupper, text))
+
+
 class Content:
     """Hashed words and token shapes of a text, as shares of its tokens (unit length)."""
 
@@ -79,7 +85,7 @@ class Metadata:
         lines, size = text.split("\n"), max(1, len(text))
         step = lambda x: int(2 * math.log2(1 + x))
         blank = text.count(" ")
-        fields = [f"lang={lang}", f"source={source}", f"chars={step(size)}", f"lines={step(len(lines))}", f"line={step(size / len(lines))}", f"again={int(10 * len(set(lines)) / len(lines))}", f"word={step(4 * size / (blank + 1))}", f"upper={int(20 * sum(map(str.isupper, text[:: max(1, size // 512)])) / 512)}", f"short={int(5 * sum(len(x) < 40 for x in lines) / len(lines))}"]
+        fields = [f"lang={lang}", f"source={source}", f"chars={step(size)}", f"lines={step(len(lines))}", f"line={step(size / len(lines))}", f"again={int(10 * len(set(lines)) / len(lines))}", f"word={step(4 * size / (blank + 1))}", f"upper={int(20 * capitals(text) / size)}", f"short={int(5 * sum(len(x) < 40 for x in lines) / len(lines))}"]
         index = (self.words([x.encode() for x in fields]) >> np.uint64(64 - BITS)).astype(np.int32)
         return np.unique(index), 1.0
 

@@ -272,3 +272,12 @@ def test_decontamination_of_excerpts_and_edited_items(spark):
     bench = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
     got = {r.doc_id: r.item_ids for r in decontaminate.flag(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == {1: [1], 2: [2], 3: [2], 4: [1], 5: [], 6: []}
+
+
+def test_metadata_counts_capitals_of_the_whole_text():
+    for small, capital in (("a", "B"), ("ż", "Ż")):
+        text = "".join(capital if k % 4 else small for k in range(4096))  # a stride of 8 meets small letters only
+        assert quality.capitals(text) == 3072
+        of = lambda t: set(quality.Metadata()(t, "en", "s")[0].tolist())
+        shuffled = "".join(sorted(text))
+        assert of(text) == of(shuffled) != of(text.lower())
