@@ -26,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode a temporary one where it is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: executors on other machines would not see a folder of the driver's")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="sparkorekta-"))
         atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)

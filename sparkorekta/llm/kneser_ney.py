@@ -3,10 +3,12 @@
 An n-gram is known by a 64-bit hash. Tasks count the n-grams of about a million tokens at a time and send
 them on as packed runs (a local vocabulary and columns of small numbers, compressed), dealt by hash into as
 many shards as the text needs. A shard's task merges its runs, writes one sorted key array and count arrays
-for this level, and sends on what the next lower level needs: continuation counts of the suffixes and, for
-the contexts, the total and the numbers of followers seen once, twice and more often. Shards are dealt by the
+for this level, and sends on what the next lower level needs: continuation and raw counts of the suffixes and, for
+the contexts, the total and the numbers of followers seen once, twice and more often. Raw counts of words are
+sums of the highest level's counts over the last word, so text is counted once. Shards are dealt by the
 hash of the whole n-gram, so a frequent word is spread over all of them. Workers map the arrays and look up
-sorted batches; only the pages they touch are read.
+sorted batches; only the pages they touch are read. A shard whose files can't be read is an error, never an
+unseen n-gram.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -27,8 +30,8 @@ from . import common
 BEGIN, END = np.uint64(0x5BF03635F0B7A54B), np.uint64(0x9F2D1C3B4A596877)
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens that a counting task packs at once, tokens of text a shard stands for, and tokens scored at once.
-RUN_TOKENS, SHARD_TOKENS, SCORE_TOKENS = 1_000_000, 2_000_000, 250_000
-#: Columns of levels below the highest: continuation count, then of the key as a context: total, followers seen once, twice, oftener; raw count (level 1).
+RUN_TOKENS, SHARD_TOKENS, SCORE_TOKENS = 2_000_000, 2_000_000, 250_000
+#: Columns of levels below the highest: continuation count, then of the key as a context: total, followers seen once, twice, oftener; raw count (stored at level 1 only).
 LOWER = ("c", "total", "n1", "n2", "n3", "raw")
 
 
@@ -120,6 +123,7 @@ class Model:
     followers: tuple[int, int, int, int]  # of level 1: total, words with count 1, 2, 3 and more
     tokens: int
     vocabulary: int
+    empty: tuple[frozenset[int], ...] = ()  # by level: shards without n-grams (small corpora only)
     _maps: dict = field(default_factory=dict, compare=False, repr=False)
 
     def __getstate__(self):
@@ -131,14 +135,19 @@ class Model:
             if len(self._maps) > 4000:
                 self._maps.clear()
             base = f"{self.path}/{level}-{s:06d}"
-            found = (np.load(f"{base}.keys.npy", mmap_mode="r"), np.load(f"{base}.values.npy", mmap_mode="r")) if os.path.exists(f"{base}.values.npy") else None
-            self._maps[level, s] = found if found is not None else ()
+            if s in self.empty[level - 1]:
+                found = ()
+            elif not os.path.exists(f"{base}.values.npy"):
+                raise FileNotFoundError(f"{base}.values.npy: this shard of the model has n-grams, but its file can't be seen from here")
+            else:
+                found = tuple(np.load(f"{base}.{name}.npy", mmap_mode="r") for name in ("keys", "values", "over"))
+            self._maps[level, s] = found
         return found
 
     def look_up(self, level: int, keys: np.ndarray) -> np.ndarray:
         """Value rows of keys (any order, repeats allowed); zeros for unseen ones."""
         unique, inverse = np.unique(keys, return_inverse=True)
-        width = 1 if level == self.order > 1 else len(LOWER)
+        width = len(LOWER) if level == 1 else 1 if level == self.order else len(LOWER) - 1
         out = np.zeros((len(unique), width))
         shard = (unique % np.uint64(self.shards[level - 1])).astype(np.int64)
         order = np.argsort(shard, kind="stable")
@@ -150,7 +159,13 @@ class Model:
                 at = np.searchsorted(found[0], unique[rows])
                 at[at == len(found[0])] = 0
                 hit = found[0][at] == unique[rows]
-                out[rows[hit]] = found[1][at[hit]]
+                at = at[hit]
+                got = found[1][at].astype(np.float64)
+                if len(found[2]):  # counts that don't fit the column stand apart, by row
+                    spot = np.minimum(np.searchsorted(found[2][:, 0], at), len(found[2]) - 1)
+                    big = found[2][spot, 0] == at
+                    got[big, 0] = found[2][spot[big], 1]
+                out[rows[hit]] = got
         return out[inverse]
 
     def score(self, flat: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,15 +233,14 @@ def train(spark: SparkSession, texts: DataFrame, order: int = 2, text_col: str =
                 flat, real = pad.flat()
                 words = np.stack([flat[real - k] for k in range(order - 1, -1, -1)], axis=1)
                 one = np.ones((len(words), 1), np.uint64)
-                own, n = np.unique(flat[real], return_counts=True)
-                low = np.zeros((len(own), len(LOWER)), np.uint64)
-                low[:, 5] = n
+                pad.clear()
                 if order > 1:
                     yield from runs(order, *merged(words, one), shards[-1])
                 else:
-                    low[:, 0] = n
-                yield from runs(1, own, own[:, None], low, shards[0])
-                pad.clear()
+                    h, words, n = merged(words, one)
+                    low = np.zeros((len(h), len(LOWER)), np.uint64)
+                    low[:, 0] = low[:, 5] = n[:, 0]
+                    yield from runs(1, h, words, low, shards[0])
 
             for batch in batches:
                 for at in range(0, batch.num_rows, common.SLICE_ROWS):
@@ -245,23 +259,32 @@ def train(spark: SparkSession, texts: DataFrame, order: int = 2, text_col: str =
             h, words, values = merged(words, values)
             c = values[:, 0]
             base = f"{where}/{level}-{shard:06d}"
-            for name, x in (("keys", h), ("values", values.astype(np.min_scalar_type(values.max(initial=0))))):
-                with open(tmp := f"{base}.{name}.{os.getpid()}.tmp", "wb") as f:
+            over = np.empty((0, 2), np.int64)
+            if level == order > 1:  # a byte a count; the few larger ones stand apart
+                big = np.flatnonzero(c > 255)
+                kept, over = np.minimum(values, 255).astype(np.uint8), np.stack([big, c[big].astype(np.int64)], axis=1)
+            else:
+                kept = values if level == 1 else values[:, :-1]
+                kept = kept.astype(np.min_scalar_type(kept.max(initial=0)))
+            for name, x in (("keys", h), ("over", over), ("values", kept)):
+                with open(tmp := f"{base}.{name}.{uuid.uuid4().hex}.tmp", "wb") as f:
                     np.save(f, x)
                 common.replace_file(tmp, f"{base}.{name}.npy")
+            del kept
             stats = {"grams": int((c > 0).sum()), "mass": int(c.sum()), **{f"t{k}": int((c == k).sum()) for k in (1, 2, 3, 4)}}
             if level == 1:
                 stats |= {"tokens": int(values[:, 5].sum()), "vocabulary": int((values[:, 5] > 0).sum())}
             yield -level, shard, json.dumps(stats).encode()
             if level > 1:
                 keep = c > 0
-                words, c = words[keep], c[keep]
-                suffix, context = np.zeros((len(c), len(LOWER)), np.uint64), np.zeros((len(c), len(LOWER)), np.uint64)
-                suffix[:, 0] = 1
-                context[:, 1] = c
-                context[np.arange(len(c)), 1 + np.minimum(c, 3).astype(np.int64)] = 1
-                both = merged(np.concatenate([words[:, 1:], words[:, :-1]]), np.concatenate([suffix, context]))
-                yield from runs(level - 1, *both, shards[level - 2])
+                words, c, raw = words[keep], c[keep], (c if level == order else values[:, 5])[keep]
+                parts = []
+                for own, columns, at in ((words[:, 1:], np.stack([np.ones_like(c), raw], axis=1), [0, 5]), (words[:, :-1], np.stack([c, *[np.where(np.minimum(c, 3) == k, 1, 0).astype(np.uint64) for k in (1, 2, 3)]], axis=1), [1, 2, 3, 4])):
+                    _, grams, sums = merged(own, columns)
+                    wide = np.zeros((len(grams), len(LOWER)), np.uint64)
+                    wide[:, at] = sums
+                    parts.append((grams, wide))
+                yield from runs(level - 1, *merged(*map(np.concatenate, zip(*parts))), shards[level - 2])
 
         def run(batches):
             def rows():
@@ -288,13 +311,24 @@ def train(spark: SparkSession, texts: DataFrame, order: int = 2, text_col: str =
     for level in range(order, 0, -1):
         due = due.repartition(shards[level - 1], "level", "shard").sortWithinPartitions("level", "shard").mapInArrow(merge(level), _RUN_DDL)
     fields = ("grams", "mass", "t1", "t2", "t3", "t4", "tokens", "vocabulary")
-    each = due.select("level", F.from_json(F.col("run").cast("string"), ", ".join(f"{x} long" for x in fields)).alias("s"))
-    got = {-r["level"]: r.asDict() for r in each.groupBy("level").agg(*[F.coalesce(F.sum(f"s.{x}"), F.lit(0)).alias(x) for x in fields]).collect()}  # a row a level
+    each = due.select("level", (F.col("shard") + 1).cast("long").alias("at"), F.from_json(F.col("run").cast("string"), ", ".join(f"{x} long" for x in fields)).alias("s"))
+    # A row for each level and 32,768 shards: sums, and a bitmap of the shards that hold something.
+    sums = each.groupBy("level", F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("held"), *[F.coalesce(F.sum(f"s.{x}"), F.lit(0)).alias(x) for x in fields])
+    got: dict[int, dict] = {}
+    empty = [np.ones(n, bool) for n in shards]
+    for r in sums.collect():
+        level = got.setdefault(-r["level"], dict.fromkeys(fields, 0))
+        for x in fields:
+            level[x] += r[x]
+        bits, first = np.unpackbits(np.frombuffer(r["held"], np.uint8), bitorder="little"), (r["bucket"] - 1) * 32768
+        part = empty[-r["level"] - 1][first : first + 32768]
+        part &= bits[: len(part)] == 0
+    empty = [frozenset(np.flatnonzero(e).tolist()) for e in empty]
     none = dict.fromkeys(fields, 0)
     discounts = [_discounts(*[got.get(k, none)[f"t{c}"] for c in (1, 2, 3, 4)]) for k in range(1, order + 1)]
     sums = got.get(1, none)
     many = sums["grams"] - sums["t1"] - sums["t2"]
-    return Model(where, order, shards, tuple(discounts), (sums["mass"], sums["t1"], sums["t2"], many), sums["tokens"], sums["vocabulary"])
+    return Model(where, order, shards, tuple(discounts), (sums["mass"], sums["t1"], sums["t2"], many), sums["tokens"], sums["vocabulary"], tuple(empty))
 
 
 def _discounts(t1: int, t2: int, t3: int, t4: int) -> tuple[float, float, float]:

@@ -281,3 +281,29 @@ def test_metadata_counts_capitals_of_the_whole_text():
         of = lambda t: set(quality.Metadata()(t, "en", "s")[0].tolist())
         shuffled = "".join(sorted(text))
         assert of(text) == of(shuffled) != of(text.lower())
+
+
+def test_kneser_ney_raises_for_a_lost_shard(spark, docs):
+    import os
+
+    model = kneser_ney.train(spark, docs.where("doc_id < 50"), 2)
+    names = sorted(os.listdir(model.path))
+    assert any(n.startswith("2-") for n in names) and not any(n.endswith(".tmp") for n in names)
+    for level in ("1-", "2-"):
+        lost = [n for n in names if n.startswith(level) and n.endswith(".values.npy")]
+        for n in lost:
+            os.rename(f"{model.path}/{n}", f"{model.path}/lost-{n}")
+        with pytest.raises(Exception, match="its file can't be seen"):
+            kneser_ney.score(docs, model).collect()
+        for n in lost:
+            os.rename(f"{model.path}/lost-{n}", f"{model.path}/{n}")
+    assert kneser_ney.score(docs, model).count() == docs.count()
+
+
+def test_kneser_ney_counts_beyond_a_byte(spark):
+    own = spark.createDataFrame([(1, "a b " * 700), (2, "c")], "doc_id long, text string")
+    model = kneser_ney.train(spark, own, 2)
+    got = {r.doc_id: r for r in kneser_ney.score(own, model).collect()}
+    hashes = common.WordHashes()([b"a", b"b"])
+    raw = model.look_up(2, kneser_ney.gram_hash(np.stack([hashes, hashes[::-1]])))
+    assert raw[:, 0].tolist() == [700.0, 699.0] and got[1].n_known == 1401
