@@ -1,15 +1,19 @@
 """Embedding near-duplicates: a hierarchical navigable small-world graph per shard, every shard queried, links verified in double precision.
 
-Vectors of one label are dealt into shards of bounded size by a hash of their id; a task builds a shard's
-graph and all vectors of the label query it in blocks. The beam of a search is widened for a query whose
-beam is full of neighbours, and for all queries of a shard until an audit of some of them against brute force
-finds the asked recall. Found pairs are verified by cosine and united.
+Vectors of one label are dealt into shards of bounded size by a hash of their value; a task builds a shard's
+graph and writes it to the shared folder. The vectors of the label are also dealt into blocks of bounded size,
+and a block's task queries every shard, whose files it maps one after the other, so a vector is shuffled once
+for each SPAN shards of its label. The beam of a search is widened for a query whose beam is full of
+neighbours, and for all queries of a shard until an audit of some of them against brute force finds the asked
+recall of pairs of different vectors. Found pairs are verified by cosine and united.
 """
 
 from __future__ import annotations
 
+import logging
 import math
-import pickle
+import os
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -19,9 +23,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Vectors of a shard (about), of a block of queries, links of a node on upper levels (twice as many on the lowest), beams of building and of first searches.
-SHARD_ROWS, BLOCK_ROWS, LINKS, BUILD_BEAM, FIRST_BEAM = 8192, 16384, 12, 48, 48
-#: Queries a shard that an audit compares with brute force, and the recall of pairs that it asks for.
-AUDIT_QUERIES, AUDIT_RECALL = 64, 0.995
+SHARD_ROWS, BLOCK_ROWS, LINKS, BUILD_BEAM, FIRST_BEAM = 8192, 4096, 12, 48, 48
+#: Shards of a label that one task queries with a block.
+SPAN = 64
+#: An audit compares queries with brute force, so many at a time, until it has seen this many pairs or asked this many queries, and wants this recall of them.
+AUDIT_STEP, AUDIT_PAIRS, AUDIT_QUERIES, AUDIT_RECALL = 64, 100, 512, 0.995
 
 
 class Graph:
@@ -35,7 +41,7 @@ class Graph:
         self.entry, self.levels = int(order[0]) if n else 0, []
         top = int(level.max(initial=0))
         self.degree = [2 * links if k == 0 else links for k in range(top + 1)]
-        self.near = [np.full((n, d), -1, np.int64) for d in self.degree]
+        self.near = [np.full((n, d), -1, np.int32) for d in self.degree]
         self.count = [np.zeros(n, np.int64) for _ in self.degree]
         at, batch = 1, 1
         while at < n:  # nodes join in batches no larger than what is linked already
@@ -89,7 +95,24 @@ class Graph:
                 near[other] = -1
                 near[other, : len(kept)], count[other] = kept, len(kept)
 
-    def search(self, q: np.ndarray, beam: int, lowest: int = 0, flood: float | None = None):
+    def save(self, base: str, **more: np.ndarray) -> None:
+        """Writes the graph and more arrays as files base-*.npy, each under a temporary name first."""
+        arrays = {"x": self.x, "head": np.array([self.entry, len(self.near)]), **{f"near{k}": a for k, a in enumerate(self.near)}, **more}
+        for name, array in arrays.items():
+            with open(tmp := f"{base}-{name}.{uuid.uuid4().hex}.tmp", "wb") as f:
+                np.save(f, array)
+            common.replace_file(tmp, f"{base}-{name}.npy")
+
+    @classmethod
+    def load(cls, base: str, *more: str) -> tuple:
+        """The graph with mapped arrays, and the other arrays asked for."""
+        read = lambda name: np.load(f"{base}-{name}.npy", mmap_mode="r")
+        out = cls.__new__(cls)
+        out.entry, levels = read("head").tolist()
+        out.x, out.near = np.asarray(read("x")), [np.asarray(read(f"near{k}")) for k in range(levels)]
+        return out, *map(read, more)
+
+    def search(self, q: np.ndarray, beam: int, lowest: int = 0):
         """Nearest nodes of each query as ids and cosines, best first, -1 where fewer are found (beam columns)."""
         q = np.ascontiguousarray(q, np.float32)
         at = np.full((len(q), 1), self.entry)
@@ -135,15 +158,26 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
 
 
-def neighbours(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float):
-    """Pairs (query, node) with cosine >= threshold in double precision; x, q: unit vectors in double precision.
+def neighbours(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float, own: np.ndarray | None = None):
+    """Pairs (query, node) with cosine >= threshold in double precision, pairs that the audit knows and of these found.
 
-    Beams are doubled for queries that end among neighbours, and for all until the audit passes.
+    x, q: unit vectors in double precision; own: the node that is the query itself, -1 if none is (no pair, and
+    not counted). Beams are doubled for queries that end among neighbours, and for all until the audit passes.
     """
     slack = threshold - 1e-4
-    beam = FIRST_BEAM
-    audit = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDIT_QUERIES)).astype(int))
-    true = q[audit] @ x.T >= threshold
+    beam, own = FIRST_BEAM, np.full(len(q), -1) if own is None else own
+    # Queries spread over the block, until enough pairs are known to tell the recall from them.
+    spread, audit, true, known = np.random.default_rng(5).permutation(len(q)), [], [], 0
+    for s in range(0, min(len(q), AUDIT_QUERIES), AUDIT_STEP):
+        some = spread[s : s + AUDIT_STEP]
+        r, c = np.nonzero(q[some] @ x.T >= threshold)
+        apart = own[some[r]] != c
+        audit.append(some)
+        true.append(some[r[apart]] * len(x) + c[apart])
+        known += int(apart.sum())
+        if known >= AUDIT_PAIRS:
+            break
+    true = np.concatenate(true)
     while True:
         out, todo, width = [], np.arange(len(q)), min(beam, len(x))
         while len(todo):
@@ -158,15 +192,11 @@ def neighbours(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float):
                 out.append((rows[r], ids[r, c]))
             todo, width = np.concatenate(again), min(4 * width, len(x))
         a, b = (np.concatenate(z) for z in zip(*out))
-        keep = np.einsum("ij,ij->i", q[a], x[b]) >= threshold
+        keep = (np.einsum("ij,ij->i", q[a], x[b]) >= threshold) & (own[a] != b)
         a, b = a[keep], b[keep]
-        got = np.zeros(true.shape, bool)
-        spot = np.full(len(q), -1)
-        spot[audit] = np.arange(len(audit))
-        of = spot[a] >= 0
-        got[spot[a[of]], b[of]] = True
-        if (got & true).sum() >= AUDIT_RECALL * true.sum() or beam >= len(x):
-            return a, b
+        got = int(np.isin(true, a * len(x) + b).sum())
+        if got >= AUDIT_RECALL * len(true) or beam >= len(x):
+            return a, b, len(true), got
         beam *= 2
 
 
@@ -175,62 +205,68 @@ def _unit(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = 0.98, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = 0.98, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, span: int = SPAN) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors link at a cosine >= threshold if their labels are equal and not null. Vectors that are null, empty, zero
     or hold null or non-finite components link with nothing; vectors of different lengths do not link. Equal
     vectors are one class that is searched once and counted as often as it occurs. Rows with equal vec_id are
-    counted each; a null vec_id has a null component unless it is linked.
+    counted each. A null vec_id links like any other but names no component: its component is the smallest
+    vec_id that is not null among those it reaches, null if there is none. The recall of the audits is logged.
+    An empty table gives no rows; other columns are ignored.
     """
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("v"))
     good = F.coalesce((F.size("v") > 0) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False)) & F.col("label").isNotNull()
     v = F.transform("v", lambda c: c + F.lit(0.0))  # -0.0 and 0.0 are equal
     marked = common.cut(spark, own.select("vec_id", F.concat_ws(":", F.col("label").cast("string"), F.size("v").cast("string")).alias("grp"), F.when(good, v).alias("v"), F.when(good, F.sha2(F.concat_ws(",", F.lit(""), F.col("label").cast("string"), F.transform(v, lambda c: c.cast("string"))), 256)).alias("cls")), "vectors")
     classes = marked.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("grp").alias("grp"), F.first("v").alias("v"))
-    classes = common.cut(spark, classes.withColumn("rep", F.coalesce("rep", F.lit(-(1 << 63)))), "vector-classes")
-    sizes = classes.groupBy("grp").agg(F.count("*").alias("n")).select("grp", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = classes.join(sizes, "grp").withColumn("shard", F.pmod(F.xxhash64("cls"), F.col("shards")).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
-    columns = ["cls", "rep", "m", "v", "grp"]
-    asks = placed.select(*columns, "block", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    # A node is a number of the written row, so that rows without vec_id are nodes of their own.
+    classes = common.cut(spark, classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+    sizes = classes.groupBy("grp").agg(F.count("*").alias("n")).select("grp", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"), F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    placed = classes.join(sizes, "grp").withColumn("shard", F.pmod(F.xxhash64("cls"), F.col("shards")).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int")).select("node", "m", "v", "grp", "shard", "shards", "block")
+    folder = common.local_path(common.scratch(spark, "hnsw"))
+    base = lambda grp, shard: f"{folder}/{uuid.uuid5(uuid.NAMESPACE_OID, grp).hex}-{shard}"
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cls", ignore_index=True)
-        x = _unit(pdf["v"])
-        whole = pickle.dumps((Graph(x), x, pdf["cls"].to_numpy(), pdf["rep"].to_numpy(), pdf["m"].to_numpy()))
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "blocks": [pdf["blocks"].iloc[0]], "graph": [whole]})
-
-    shards = placed.groupBy("grp", "shard").applyInPandas(build, "grp string, shard int, blocks int, graph binary")
-    shards = common.cut(spark, shards, "vector-graphs")
-    # Each block of queries gets each graph of its label.
-    graphs = shards.select("grp", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "graph")
-
-    def search(pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(held):
-            return pd.DataFrame({"cls": [], "links": [], "a": [], "b": []})
-        graph, x, names, reps, sizes = pickle.loads(held["graph"].iloc[0])
-        pdf = pdf.sort_values("cls", ignore_index=True)
-        cls, rep = pdf["cls"].to_numpy(), pdf["rep"].to_numpy()
-        a, b = neighbours(graph, x, _unit(pdf["v"]), threshold)
-        other = cls[a] != names[b]
-        a, b = a[other], b[other]
-        nodes, at = np.unique(np.concatenate([rep, reps]), return_inverse=True)
-        label, unite = common.forest(len(nodes))
-        unite(at[a], at[len(pdf) + b])
-        low = nodes[label()]  # a label is the smallest position of its component, and nodes are sorted
-        links = np.zeros(len(at), np.int64)
-        np.add.at(links, a, sizes[b])
-        # Shard members that no query of this block is need their edges too.
-        ask = pd.DataFrame({"cls": cls, "links": links[: len(pdf)], "a": rep, "b": low[at[: len(pdf)]]})
-        held_edges = pd.DataFrame({"cls": None, "links": 0, "a": reps, "b": low[at[len(pdf) :]]})
-        return pd.concat([ask, held_edges[held_edges["a"] != held_edges["b"]]])
-
-    key = ["grp", "shard", "block"]
-    found = asks.groupBy(*key).cogroup(graphs.groupBy(*key)).applyInPandas(search, "cls string, links long, a long, b long")
+        pdf = pdf.sort_values("node", ignore_index=True)
+        x, grp, shard = _unit(pdf["v"]), pdf["grp"].iloc[0], int(pdf["shard"].iloc[0])
+        os.makedirs(folder, exist_ok=True)
+        Graph(x).save(base(grp, shard), unit=x, node=pdf["node"].to_numpy(), m=pdf["m"].to_numpy())
+        return pd.DataFrame({"grp": [grp], "shard": [shard]})
+
+    common.cut(spark, placed.groupBy("grp", "shard").applyInPandas(build, "grp string, shard int"), "vector-graphs")
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        grp, q, mine = pdf["grp"].iloc[0], _unit(pdf["v"]), pdf["node"].to_numpy()
+        first, last = int(pdf["span"].iloc[0]) * span, int(pdf["shards"].iloc[0])
+        links, edges, audits = np.zeros(len(pdf), np.int64), [], np.zeros(2, np.int64)
+        for shard in range(first, min(first + span, last)):
+            graph, x, node, m = Graph.load(base(grp, shard), "unit", "node", "m")
+            at = np.minimum(np.searchsorted(node, mine), len(node) - 1)
+            a, b, known, got = neighbours(graph, x, q, threshold, np.where(node[at] == mine, at, -1))
+            audits += known, got
+            np.add.at(links, a, m[b])
+            ids, pos = np.unique(np.concatenate([mine[a], node[b]]), return_inverse=True)
+            label, unite = common.forest(len(ids))
+            unite(pos[: len(a)], pos[len(a) :])
+            low = ids[label()]  # a label is the smallest position of its component, and ids are sorted
+            edges.append(np.stack([ids, low])[:, ids != low])
+        a, b = np.concatenate(edges, axis=1)
+        asked = pd.DataFrame({"a": mine, "b": mine, "links": links, "known": 0, "found": 0})
+        joined = pd.DataFrame({"a": a, "b": b, "links": 0, "known": 0, "found": 0})
+        return pd.concat([asked, joined, pd.DataFrame({"a": mine[:1], "b": mine[:1], "links": 0, "known": audits[:1], "found": audits[1:]})])
+
+    asks = placed.select("node", "v", "grp", "block", "shards", F.explode(F.sequence(F.lit(0), F.floor((F.col("shards") - 1) / span).cast("int"))).alias("span"))
+    found = asks.groupBy("grp", "block", "span").applyInPandas(search, "a long, b long, links long, known long, found long")
     found = common.cut(spark, found, "vector-links")
-    united = common.components(spark, found.select("a", "b"))
-    links = found.where("cls is not null").groupBy("cls").agg(F.sum("links").alias("links"))
-    table = classes.join(links, "cls", "left").join(united, classes.rep == united.node, "left").where("m > 1 or links > 0")
-    table = table.select(F.col("cls").alias("k"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("m") - 1).alias("n_links"), F.nullif(F.coalesce("component", "rep"), F.lit(-(1 << 63))).alias("component_id"))
+    known, got = found.agg(F.sum("known"), F.sum("found")).first()
+    logging.getLogger(__name__).warning("audits: %s of %s pairs of different vectors found", got or 0, known or 0)
+    united = common.components(spark, found.where("a <> b").select("a", "b"))
+    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    table = classes.select("cls", "rep", "m", "node").join(links, "node", "left").join(united, "node", "left").where("m > 1 or links > 0").withColumn("component", F.coalesce("component", "node"))
+    lowest = table.groupBy("component").agg(F.min("rep").alias("component_id"))
+    table = table.join(lowest, "component").select(F.col("cls").alias("k"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("m") - 1).alias("n_links"), "component_id")
     out = marked.join(table, marked.cls == table.k, "left")
+    # A linked row has the component of its class, which is null only where no vector of it has an id.
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

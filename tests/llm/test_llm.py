@@ -88,14 +88,34 @@ def test_embeddings(spark):
     x[100:180] = x[:80] + rng.normal(size=(80, 16)) * 0.03
     rows = [(k, [float(np.float32(c)) for c in v], k % 3) for k, v in enumerate(x)]
     rows += [(1000, rows[0][1], 0), (1001, None, 0), (1002, [0.0] * 16, 0), (1003, [float("nan")] * 16, 0), (1004, rows[0][1], None), (1005, [None] * 16, 1), (1006, [], 1)]
-    ok = [r[1] is not None and len(r[1]) == 16 and None not in r[1] and all(map(math.isfinite, r[1])) and any(r[1]) and r[2] is not None for r in rows]
+    # Null ids: alone, with one that has an id, as a bridge and equal to another; an id that occurs twice.
+    rows += [(None, [9.0] + [0.0] * 15, 0), (None, rows[4][1], 1), (None, rows[4][1], 1), (None, [-5.0] * 16, 2), (None, [-5.0] * 15 + [-5.1], 2), (7, rows[9][1], 0), (7, rows[20][1], 2)]
+    turn = lambda deg: [math.cos(math.radians(deg)), math.sin(math.radians(deg))]
+    rows += [(2005, turn(0), 5), (None, turn(10), 5), (2009, turn(20), 5), (None, turn(30), 5), (2001, turn(40), 5)]
+    ok = [r[1] is not None and len(r[1]) > 0 and None not in r[1] and all(map(math.isfinite, r[1])) and any(r[1]) and r[2] is not None for r in rows]
     cos = lambda a, b: np.dot(a, b) / math.sqrt(np.dot(a, a) * np.dot(b, b))
-    linked = lambda a, b: ok[a] and ok[b] and rows[a][2] == rows[b][2] and cos(np.array(rows[a][1]), np.array(rows[b][1])) >= 0.98
+    linked = lambda a, b: ok[a] and ok[b] and rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]) and cos(np.array(rows[a][1]), np.array(rows[b][1])) >= 0.98
     label = groups_of(len(rows), linked)
-    got = {r.vec_id: r for r in embeddings.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), shard_rows=64).collect()}
+    want = Counter()
     for k, r in enumerate(rows):
-        assert got[r[0]].component_id == rows[label[k]][0] and got[r[0]].n_links == sum(linked(k, j) for j in range(len(rows)) if j != k)
-        assert got[r[0]].kept == (got[r[0]].component_id == r[0])
+        low = min((rows[j][0] for j in range(len(rows)) if label[j] == label[k] and rows[j][0] is not None), default=None)
+        want[r[0], sum(linked(k, j) for j in range(len(rows)) if j != k), low, r[0] is not None and r[0] == low] += 1
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, label int, component_id string")
+    for sizes in ({}, {"shard_rows": 16, "block_rows": 20, "span": 2}):
+        assert Counter(tuple(r) for r in embeddings.near_duplicates(spark, df, **sizes).collect()) == want
+    assert embeddings.near_duplicates(spark, df.limit(0)).count() == 0
+
+
+def test_embedding_audit_counts_pairs_of_different_vectors():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8))
+    x[300:] = x[:300] + rng.normal(size=(300, 8)) * 0.01
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a, b, known, got = embeddings.neighbours(embeddings.Graph(x), x, x, 0.98, np.arange(600))
+    want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.98)) if i != j}
+    assert known >= 100 and got >= 0.995 * known and len(set(zip(a.tolist(), b.tolist())) & want) >= 0.99 * len(want)
+    none = embeddings.neighbours(embeddings.Graph(np.eye(8)), np.eye(8), np.eye(8), 0.98, np.arange(8))
+    assert len(none[0]) == 0 and none[2:] == (0, 0)
 
 
 def test_kneser_ney(spark, docs):
