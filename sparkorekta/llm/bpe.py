@@ -71,6 +71,7 @@ class ByteBPE:
         self.spines: tuple[dict, dict] = ({}, {})
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words of the generation before, until they are met again
         self.split_any = regex.compile(pattern(r"\p{L}", r"\p{N}")).findall
         self.split_latin = re.compile(pattern(LATIN_LETTERS, LATIN_NUMBERS)).findall
         self.beyond_latin = re.compile("[^\x00-\u024f]").search
@@ -183,9 +184,13 @@ class ByteBPE:
         cut = [self._pieces(t) for t in texts]
         known = self.words
         new = {p for parts in cut for p in parts if p not in known}
-        if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
+        if len(known) + len(new) > KEPT_WORDS // 2:  # a new generation begins; of the last one what is met again is kept
+            self.older, self.words = known, (known := {})
             new = {p for parts in cut for p in parts}
+        if older := self.older:
+            again = {p: older[p] for p in new if p in older}
+            known.update(again)
+            new.difference_update(again)
         fresh = self.solve([p for p in new if isinstance(p, str)])
         fresh.update((p, np.array([p], "<u4").tobytes()) for p in new if isinstance(p, int))
         known.update(fresh)
