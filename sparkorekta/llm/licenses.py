@@ -1,9 +1,12 @@
 """Licence paragraphs: a softmax regression over word n-grams, calibrated, and confirmed by templates.
 
-The model is fitted once on the short templates below, on variants of them with words left out, and on a
-bounded sample of the corpus' own lines as the unknown class. Scoring is a join of the paragraphs' hashed
-n-grams with the weights (a row for each n-gram of the templates and of the sample's shared ones), in
-DataFrame functions alone.
+The model is fitted once on the short templates below, on variants of them (words before, after or left out,
+denials as the unknown class), and on a bounded sample of the corpus' own lines as the unknown class. A curve
+fitted on held-out folds turns its margin between known and unknown into a probability. A paragraph is what
+blank lines part, so a notice wrapped over lines is one. What is scored is the place where a template's
+three-word n-grams stand, with a few words before it, however long the paragraph around it is; then the
+predicted family has to be that of the template. All of it is joins with fixed small tables, in DataFrame
+functions alone.
 """
 
 from __future__ import annotations
@@ -12,10 +15,11 @@ import math
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .linear import platt
 
 UNKNOWN = "unknown"
 #: Notices by which works state their licence, by family.
@@ -34,8 +38,26 @@ TEMPLATES = {
     "cc0": ["This work is dedicated to the public domain under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "This is free and unencumbered software released into the public domain."],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part of this work may be reproduced without permission."],
 }
-#: The longest n-gram, lines of the corpus in the unknown class at most, learning passes, and the bounds that a prediction has to pass.
-GRAMS, NEGATIVES, PASSES, PROBABILITY, CONTAINMENT = 3, 2000, 300, 0.6, 0.8
+#: Headings that name a licence if a line holds nothing else, and names in SPDX identifiers.
+TITLES = {
+    "mit": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT Licence"],
+    "apache-2.0": ["Apache License", "Apache License 2.0", "Apache License Version 2.0", "Apache-2.0"],
+    "gpl": ["GNU General Public License", "GNU GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0"],
+    "lgpl": ["GNU Lesser General Public License", "LGPLv3", "LGPL-2.1", "LGPL-3.0"],
+    "agpl": ["GNU Affero General Public License", "AGPLv3", "AGPL-3.0"],
+    "bsd": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "The BSD License"],
+    "mpl-2.0": ["Mozilla Public License", "Mozilla Public License 2.0", "MPL-2.0"],
+    "isc": ["ISC License", "The ISC License"],
+    "cc-by": ["CC BY 4.0", "CC-BY-4.0"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA-4.0"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC-4.0"],
+    "cc0": ["CC0 1.0", "CC0 1.0 Universal", "CC0-1.0", "The Unlicense"],
+}
+SPDX = {"mit": ["MIT"], "apache-2.0": ["Apache-2.0"], "gpl": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"], "lgpl": ["LGPL-2.1-or-later", "LGPL-3.0-only"], "agpl": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "mpl-2.0": ["MPL-2.0"], "isc": ["ISC"], "cc-by": ["CC-BY-4.0"], "cc-by-sa": ["CC-BY-SA-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"], "cc0": ["CC0-1.0"]}
+NOTICES = {family: [*texts, *(f"SPDX-License-Identifier: {x}" for x in SPDX.get(family, []))] for family, texts in TEMPLATES.items()}
+DENIALS = "not never".split()
+#: The longest n-gram, lines of the corpus in the unknown class at most, learning passes, folds of the calibration, words before a notice that are scored with it, and the bounds that a prediction has to pass.
+GRAMS, NEGATIVES, PASSES, FOLDS, CONTEXT, PROBABILITY, CONTAINMENT = 3, 2000, 300, 3, 4, 0.5, 0.8
 SCALE = 4.0
 
 
@@ -52,7 +74,13 @@ class Softmax:
     """A sparse softmax regression; a paragraph's n-grams count 1/sqrt(number of its n-grams) times SCALE."""
 
     def __init__(self, classes: list[str]):
-        self.classes, self.weights, self.bias = classes, {}, [0.0] * len(classes)
+        self.classes, self.weights, self.bias, self.curve = classes, {}, [0.0] * len(classes), (1.0, 0.0)
+
+    def margin(self, grams: set[str]) -> float:
+        """Log odds of all known classes against the unknown one (the last), before calibration."""
+        k = SCALE / math.sqrt(max(1, len(grams)))
+        x = np.array(self.bias) + k * sum((np.array(self.weights[g]) for g in grams if g in self.weights), np.zeros(len(self.bias)))
+        return float(np.logaddexp.reduce(x[:-1]) - x[-1])
 
     def fit(self, rows: list[tuple[set[str], int, float]], passes: int = PASSES, rate: float = 2.0, decay: float = 2e-4) -> Softmax:
         """rows: n-grams, class, weight. Gradient steps on all rows (a few thousand, from the templates and the bounded sample)."""
@@ -77,16 +105,27 @@ class Softmax:
         return self
 
 
-def variants(text: str) -> list[list[str]]:
+def variants(words: list[str], before: list[str]) -> list[list[str]]:
     """A notice's words, and variants: with words before or after, or one of its outer words left out."""
-    w = words_of(text)
-    return [w, ["copyright", "2020", "the", "authors", *w], [*w, "see", "the", "file", "for", "details"], *([w[1:], w[:-1]] if len(w) > 5 else [])]
+    w = words
+    return [w, ["copyright", "2020", "the", "authors", *w], [*before[:CONTEXT], *w], [*w, "see", "the", "file", "for", "details"], *([w[1:], w[:-1]] if len(w) > 5 else [])]
+
+
+def denials(words: list[str]) -> list[list[str]]:
+    """A notice denied before it begins, or after its first is, was or are."""
+    out = [[*p, d, *words] for d in DENIALS for p in ([], ["this", "is"], ["it", "was"], ["they", "are"], ["the", "code", "is"])]
+    at = next((k for k, w in enumerate(words) if w in ("is", "was", "are")), None)
+    return out if at is None else [*out, *([*words[: at + 1], d, *words[at + 1 :]] for d in DENIALS)]
+
+
+#: What parts paragraphs: a blank line or several.
+BLANK = r"(?:\r\n|\r|\n)[ \t]*(?:[\r\n][ \t]*)*(?:\r\n|\r|\n)"
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, para (from 0), line: the non-empty lines of whole texts."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.select("doc_id", F.posexplode(F.split("text", "[\r\n]+")).alias("para", "line")).where(F.length("line") > 0)
+    """doc_id, row, para (from 0), text: what blank lines part in whole texts, empty ones left out; row tells rows of docs apart."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    return own.select("doc_id", "row", F.posexplode(F.split("text", BLANK)).alias("para", "text")).where(F.length("text") > 0)
 
 
 def words_col(line: Column) -> Column:
@@ -110,30 +149,46 @@ def all_grams(words: Column) -> Column:
 
 
 def train(spark: SparkSession, docs: DataFrame, negatives: int = NEGATIVES) -> Softmax:
-    """The model. Its unknown class learns from about `negatives` corpus lines that share no two-word n-gram with a template."""
-    classes = [*TEMPLATES, UNKNOWN]
-    known = set().union(*(grams_of(words_of(t)) for texts in TEMPLATES.values() for t in texts))
+    """The model. Its unknown class learns from about `negatives` corpus lines that share no two-word n-gram with a template, and from denials."""
+    classes = [*NOTICES, UNKNOWN]
+    notices = {family: [words_of(t) for t in [*texts, *TITLES.get(family, [])]] for family, texts in NOTICES.items()}
+    known = set().union(*(grams_of(w) for texts in notices.values() for w in texts))
     pairs = {g for g in known if " " in g}
     n = docs.count()
     part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) <= int(1e6 * min(1.0, negatives / 4 / max(1, n))))
-    lines = [r["line"] for r in paragraphs(part).where(F.length("line") <= 1000).select("line").orderBy(F.xxhash64("line"), "line").limit(negatives).collect()]
+    lines = part.select(F.explode(F.split(F.col("text").cast("string"), "[\r\n]+")).alias("line")).where(F.length("line").between(1, 1000))
+    lines = [words_of(r["line"]) for r in lines.orderBy(F.xxhash64("line"), "line").limit(negatives).collect()]
+    before = [w[:CONTEXT] for w in lines if len(w) >= CONTEXT and not grams_of(w) & pairs] or [[]]
     # Classes weigh alike, and the unknown one as much as all others.
-    own = [[(grams_of(v), k) for t in texts for v in variants(t)] for k, texts in enumerate(TEMPLATES.values())]
+    own = [[(grams_of(v), k) for i, w in enumerate(texts) for v in variants(w, before[(31 * k + i) % len(before)])] for k, texts in enumerate(notices.values())]
     rows = [(g, k, 1 / len(group)) for group in own for g, k in group]
     # N-grams that no template has tell unknown lines apart only through the bias; the shared ones matter.
-    other = [set(g) for g in sorted({tuple(sorted(g & known)) for g in (grams_of(words_of(x)) for x in lines) if not g & pairs})]
+    other = [set(g) for g in sorted({tuple(sorted(g & known)) for g in map(grams_of, lines) if not g & pairs})]
     plain = "the of and to a in is this that license licensed under public general version software work free copyright permission".split()
     other += [{w} for w in plain] + [grams_of(["the", w, "of", "the"]) for w in plain]
-    rows += [(g, len(classes) - 1, len(own) / len(other)) for g in other]
-    return Softmax(classes).fit(rows)
+    denied = [grams_of(d) for texts in notices.values() for w in texts for d in denials(w)]
+    rows += [(g, len(classes) - 1, len(own) / 2 / len(group)) for group in (other, denied) for g in group]
+    # The curve is fitted on margins of rows that the model of their fold has not seen.
+    margins, truth = [], []
+    for f in range(FOLDS):
+        model = Softmax(classes).fit([r for k, r in enumerate(rows) if k % FOLDS != f], PASSES // 2)
+        held = [r for k, r in enumerate(rows) if k % FOLDS == f]
+        margins += [model.margin(g) for g, _, _ in held]
+        truth += [float(k < len(classes) - 1) for _, k, _ in held]
+    model = Softmax(classes).fit(rows)
+    model.curve = platt(np.array(margins), np.array(truth))
+    return model
 
 
 def scan(spark: SparkSession, docs: DataFrame, model: Softmax | None = None) -> DataFrame:
-    """doc_id, para, family, probability, containment: paragraphs with a known licence family.
-
-    A paragraph is a line; its family is the most probable class if that is not unknown, has a probability of
-    PROBABILITY and the paragraph holds CONTAINMENT of the three-word n-grams of one of the family's
-    templates. Repeated lines and rows are found each; null and empty texts have none.
+    """doc_id, para, at, family, probability, containment: the notices of a known licence family.
+
+    A notice is a place (its first word's number in the paragraph) that holds CONTAINMENT of the three-word
+    n-grams of one of the family's templates within a template's length, or a line that is nothing but a
+    licence's name (there `at` is minus one minus the line's number). The family is the most probable one and the
+    calibrated probability that it is known, times that of the family, has to be PROBABILITY. Repeated notices
+    and rows are found each; a notice that is denied is not one. Null and empty texts have none; texts of any
+    length are read whole; other columns are ignored; an empty table gives no rows.
     """
     model = model or train(spark, docs)
     k = len(model.classes)
@@ -141,34 +196,49 @@ def scan(spark: SparkSession, docs: DataFrame, model: Softmax | None = None) ->
     known = sorted(g for g, w in model.weights.items() if any(abs(x) > 1e-6 for x in w))
     named = spark.createDataFrame([(g.split(" "), [float(x) for x in model.weights[g]]) for g in known], "words array<string>, w array<double>")
     weights = named.select(F.element_at(all_grams(F.col("words")), -1).alias("h"), "w")
-    marks = [(f"{name}:{i}", name, g.split(" ")) for name, texts in TEMPLATES.items() for i, t in enumerate(texts) for g in sorted(_marks(t))]
-    templates = spark.createDataFrame(marks, "template string, family string, words array<string>").select("template", "family", gram_hash(F.col("words"), F.lit(0), GRAMS).alias("h"))
-    sizes = F.create_map(*[F.lit(x) for t in sorted({m[0] for m in marks}) for x in (t, float(sum(m[0] == t for m in marks)))])
-    signs = [r["h"] for r in templates.select("h").distinct().collect()]  # some 300 hashes of fixed templates
-    # A line without any three-word n-gram of a template can't be confirmed, whatever its probability.
-    lines = common.once(paragraphs(docs), "words", words_col(F.col("line"))).where(F.size("words") >= GRAMS)
-    lines = lines.where(F.exists(F.sequence(F.lit(0), F.size("words") - GRAMS), lambda i: gram_hash(F.col("words"), i, GRAMS).isin(signs)))
-    each = lines.select("doc_id", "para", F.xxhash64("line").alias("line"), all_grams(F.col("words")).alias("grams")).distinct()
-    each = each.select("doc_id", "para", "line", F.size("grams").alias("n"), F.explode("grams").alias("h"))
-    key = ["doc_id", "para", "line"]
-    sums = each.join(F.broadcast(weights), "h", "left").groupBy(*key, "n").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)])
-    logits = F.array(*[F.lit(model.bias[i]) + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) * SCALE / F.sqrt("n") for i in range(k)])
-    sums = sums.select(*key, logits.alias("x")).withColumn("top", F.array_max("x"))
-    best = sums.select(*key, F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("x", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("x", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))).alias("probability"))
-    best = best.where((F.col("family") != UNKNOWN) & (F.col("probability") >= PROBABILITY))
-    matched = each.join(F.broadcast(templates), "h").groupBy(*key, "family", "template").agg(F.count("*").alias("m"))
-    matched = matched.groupBy(*key, "family").agg(F.max(F.col("m") / F.element_at(sizes, F.col("template"))).alias("containment"))
-    return best.join(matched, [*key, "family"]).where(F.col("containment") >= CONTAINMENT).select("doc_id", "para", "family", "probability", "containment")
-
-
-def _marks(text: str) -> set[str]:
-    """A template's three-word n-grams; each template has three words at least."""
-    w = words_of(text)
-    return {" ".join(w[k : k + GRAMS]) for k in range(len(w) - GRAMS + 1)}
+    marks = [(f"{name}:{i}", name, pos, len(w), w[pos : pos + GRAMS]) for name, texts in NOTICES.items() for i, w in enumerate(map(words_of, texts)) for pos in range(len(w) - GRAMS + 1)]
+    templates = spark.createDataFrame(marks, "template string, family string, pos int, n int, words array<string>").select("template", "family", "pos", "n", gram_hash(F.col("words"), F.lit(0), GRAMS).alias("h"))
+    signs = [r["h"] for r in templates.select("h").distinct().collect()]  # some 400 hashes of fixed templates
+    blocks = common.once(paragraphs(docs), "words", words_col(F.col("text"))).where(F.size("words") >= GRAMS).select("doc_id", "row", "para", "words")
+    # Places without any three-word n-gram of a template can't be confirmed, whatever their probability.
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - GRAMS), lambda i: gram_hash(F.col("words"), i, GRAMS).isin(signs))
+    blocks = common.once(blocks, "places", places).where(F.size("places") > 0)
+    blocks = common.cut(spark, blocks.withColumn("block", F.monotonically_increasing_id()), "licence-blocks")
+    hits = blocks.select("block", F.explode("places").alias("i"), "words").select("block", "i", gram_hash(F.col("words"), F.col("i"), GRAMS).alias("h"))
+    hits = hits.join(F.broadcast(templates), "h").withColumn("step", (F.col("i") - F.col("pos")) / F.col("n"))
+    # An occurrence is what would begin within a template's length; such ranges overlap by half.
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.floor("step").alias("at")), F.struct(F.lit(1).alias("kind"), F.floor(F.col("step") + 0.5).alias("at")))
+    hits = hits.withColumn("where", F.explode(kinds)).groupBy("block", "template", "family", "n", "where").agg(F.countDistinct("pos").alias("m"), F.min("i").alias("at"), (F.max("i") + GRAMS).alias("end"))
+    hits = hits.withColumn("containment", F.col("m") / (F.col("n") - (GRAMS - 1))).where(F.col("containment") >= CONTAINMENT)
+    spans = hits.groupBy("block", "at", "end", "family").agg(F.max("containment").alias("containment")).join(blocks, "block")
+    first = F.greatest(F.col("at") - CONTEXT, F.lit(0))
+    spans = spans.select("doc_id", "row", "para", "at", "end", "family", "containment", F.slice("words", first + 1, F.col("end") - first).alias("words"))
+    titles = {" ".join(words_of(t)): family for family, texts in TITLES.items() for t in texts}
+    lines = paragraphs(docs).where(F.col("text").rlike(r"(?i)licen[sc]e|CC[- ]?BY|CC0|GPL|MPL-2|Apache-2"))
+    lines = lines.select("doc_id", "row", "para", F.posexplode(F.split("text", "[\r\n]+")).alias("line", "t")).where(F.length("t").between(3, 100))
+    lines = common.once(lines, "words", words_col(F.col("t"))).withColumn("family", F.try_element_at(F.create_map(*[F.lit(x) for kv in titles.items() for x in kv]), F.array_join("words", " "))).where("family is not null")
+    spans = spans.unionByName(lines.select("doc_id", "row", "para", (-1 - F.col("line")).alias("at"), (-F.col("line")).alias("end"), "family", F.lit(1.0).alias("containment"), "words"))
+    spans = common.cut(spark, spans.select("doc_id", "row", "para", "at", "end", "family", "containment", F.xxhash64("words").alias("key"), all_grams(F.col("words")).alias("grams")), "licence-spans")
+    # Equal words are classified once.
+    each = spans.groupBy("key").agg(F.first("grams").alias("grams")).select("key", F.size("grams").alias("n"), F.explode("grams").alias("h"))
+    sums = each.join(F.broadcast(weights), "h", "left").groupBy("key", "n").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)])
+    logits = F.array(*[F.lit(model.bias[i]) + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) * SCALE / F.sqrt("n") for i in range(k - 1)])
+    sums = sums.select("key", logits.alias("x"), (F.lit(model.bias[-1]) + F.coalesce(F.col(f"s{k - 1}"), F.lit(0.0)) * SCALE / F.sqrt("n")).alias("other")).withColumn("top", F.array_max("x"))
+    sums = sums.withColumn("all", F.aggregate("x", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))
+    sure = 1 / (1 + F.exp(-(model.curve[0] * (F.col("top") + F.log("all") - F.col("other")) + model.curve[1])))
+    best = sums.select("key", F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("x", F.col("top")).cast("int")).alias("family"), (sure / F.col("all")).alias("probability")).where(F.col("probability") >= PROBABILITY)
+    found = spans.join(best, ["key", "family"]).groupBy("doc_id", "row", "para", "at", "family").agg(F.max("end").alias("end"), F.max("probability").alias("probability"), F.max("containment").alias("containment"))
+    # Templates overlap in words; of places that overlap the first is the notice. A window holds one paragraph's notices.
+    until = F.max("end").over(Window.partitionBy("row", "para", "family").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("until", until).where(F.col("until").isNull() | (F.col("at") >= F.col("until"))).select("doc_id", "para", "at", "family", "probability", "containment")
 
 
 def licences(spark: SparkSession, docs: DataFrame, model: Softmax | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_paragraphs (with a licence), families (sorted, distinct), probability (the best; null if none)."""
-    found = scan(spark, docs, model).groupBy(F.col("doc_id").alias("k")).agg(F.countDistinct("para").alias("n_paragraphs"), F.sort_array(F.collect_set("family")).alias("families"), F.max("probability").alias("probability"))
+    """One row per input row: doc_id, n_paragraphs (with a licence), n_notices, families (sorted, distinct), probability (the best; null if none).
+
+    Rows with equal doc_id are told apart by nothing else, so each shows what any of them holds; a null doc_id shows nothing.
+    """
+    found = scan(spark, docs, model).where("doc_id is not null").groupBy(F.col("doc_id").alias("k")).agg(F.countDistinct("para").alias("n_paragraphs"), F.countDistinct("para", "at").alias("n_notices"), F.sort_array(F.collect_set("family")).alias("families"), F.max("probability").alias("probability"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return own.join(found, own.doc_id == found.k, "left").select("doc_id", F.coalesce("n_paragraphs", F.lit(0).cast("long")).alias("n_paragraphs"), F.coalesce("families", F.array().cast("array<string>")).alias("families"), "probability")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return own.join(found, own.doc_id == found.k, "left").select("doc_id", zero("n_paragraphs"), zero("n_notices"), F.coalesce("families", F.array().cast("array<string>")).alias("families"), "probability")
