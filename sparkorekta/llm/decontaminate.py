@@ -1,7 +1,9 @@
 """Benchmark decontamination by canonical templates, in DataFrame functions alone.
 
-Numbers, names and units become typed placeholders, so a question with other values has the same template.
-Windows of five template tokens are hashed and joined with those of the benchmark. What matches is judged by
+Numbers (in digits or words), names (a run of them is one) and units become typed placeholders, so a question
+with other values has the same template. Windows of five template tokens are hashed and joined with those of
+the benchmark; an item of fewer tokens is one window of its own length, and an item of placeholders alone is
+looked for by its values. What matches is judged by
 occurrence, that is by where in the document the item would begin: what fills its slots must agree there (a
 value of the item stands for one value in this occurrence wherever it recurs). An item is found in a document
 whose agreeing occurrences hold half of its distinct windows or more,
@@ -21,25 +23,37 @@ WINDOW = 5
 COVERAGE, AGREEMENT = 0.5, 0.8
 #: Tokens in a row that tell an item whatever its length, and share of its words in one place that does.
 RUN, WORDS = 13, 0.8
-#: A window of placeholders alone says nothing: it needs this many literal tokens (short sequences: all they have).
+#: A window of placeholders alone says nothing: it needs this many literal tokens (shorter windows: one for each token).
 LITERALS = 2
 #: Benchmark windows that are broadcast at most (24 bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
 #: Units that count as such after a number.
 UNITS = "kg g mg km m cm mm mi ft in lb lbs oz l ml s sec min h hr hours minutes seconds days weeks months years percent usd eur dollars euros cents miles meters metres kilometers kilometres grams kilograms pounds feet inches liters litres".split()
-NAME, NUMBER, UNIT = "\ue000", "#num", "#unit"
+#: Number words.
+ONES = "one two three four five six seven eight nine".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBERS = ["zero", *ONES, *"ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), *TENS, *(t + o for t in TENS for o in ONES), "hundred", "thousand", "million", "billion"]
+#: Marks a name, and stands for the space between the words of one.
+NAME, GLUE, NUMBER, UNIT = "\ue000", "\ue001", "#num", "#unit"
 
 
 def marked_tokens(text: Column) -> Column:
-    """Lower-cased words without punctuation; a name (a capitalised word that begins no sentence) has a mark before it."""
-    inner = r"(?<=[\p{Ll}\p{N},;:)] )(\p{Lu}\p{Ll}+)"
+    """Lower-cased words without punctuation. A name (capitalised words of which the first begins no sentence) is one
+    token with a mark before it; a unit that is written together with its number is a token of its own."""
+    word = r"\p{Lu}\p{Ll}+"
+    # What stands before is looked at after the cheap test of a letter or mark, not at every character.
+    inner = rf"(\p{{Lu}}(?<=[\p{{Ll}}\p{{N}},;)] \p{{Lu}})\p{{Ll}}+)"
+    # Within a marked run of capitalised words every word but the first gets a mark from `inner`, too; it becomes glue.
+    within = rf" {NAME}(?<={NAME}\p{{Lu}}\p{{Ll}}{{1,40}} {NAME})(?={word})"
+    together = rf"(?<!\S)(\p{{Nd}}+)({'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\S)"
 
     def clean(t: Column) -> Column:
         # Most texts have no capital inside a sentence, and the test is cheaper than the replacement.
-        named = F.when(t.rlike(inner), F.regexp_replace(t, inner, NAME + "$1")).otherwise(t)
-        return F.filter(F.split(F.regexp_replace(F.lower(named), rf"[^\p{{L}}\p{{M}}\p{{N}}\s{NAME}]+", ""), r"\s+"), lambda w: w != "")
+        named = F.when(t.rlike(inner), F.regexp_replace(F.regexp_replace(t, inner, NAME + "$1"), within, GLUE)).otherwise(t)
+        line = F.regexp_replace(F.lower(named), rf"[^\p{{L}}\p{{M}}\p{{N}}\s{NAME}{GLUE}]+", "")
+        return common.let(line, lambda x: F.filter(F.split(F.when(x.rlike(r"\p{Nd}\p{L}"), F.regexp_replace(x, together, "$1 $2")).otherwise(x), r"\s+"), lambda w: w != ""))
 
-    return common.let(F.translate(F.coalesce(text.cast("string"), F.lit("")), NAME, " "), clean)
+    return common.let(F.translate(F.coalesce(text.cast("string"), F.lit("")), NAME + GLUE, "  "), clean)
 
 
 def template(tokens: Column) -> Column:
@@ -50,17 +64,23 @@ def template(tokens: Column) -> Column:
         return F.when(F.contains(line, F.lit(NAME)), F.regexp_replace(line, NAME + r"\S*", "#name")).otherwise(line)
 
     def numbers(line: Column) -> Column:
-        return F.when(line.rlike(r"\p{Nd}"), F.regexp_replace(F.regexp_replace(line, digits, NUMBER), units, UNIT)).otherwise(line)
+        line = F.when(line.rlike(r"\p{Nd}"), F.regexp_replace(line, digits, NUMBER)).otherwise(line)
+        return common.let(line, lambda x: F.when(F.contains(x, F.lit(NUMBER)), F.regexp_replace(x, units, UNIT)).otherwise(x))
 
     # Placeholders hold no space, so positions stay.
-    return F.filter(F.split(common.let(common.let(F.array_join(tokens, " "), names), numbers), " "), lambda w: w != "")
+    worded = F.transform(tokens, lambda w: F.when(w.isin(NUMBERS), NUMBER).otherwise(w))
+    return F.filter(F.split(common.let(common.let(F.array_join(worded, " "), names), numbers), " "), lambda w: w != "")
 
 
-def windows(tokens: Column) -> Column:
-    """Hashes of the windows of template tokens by position (from 0); fewer than five tokens: of the whole sequence; none: empty."""
-    n = F.size(tokens)
-    whole = F.array(F.xxhash64(tokens))
-    return F.when(n == 0, F.array().cast("array<bigint>")).when(n <= WINDOW, whole).otherwise(F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(tokens, i, WINDOW))))
+def hashed(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w))
+
+
+def _windows(hashes: Column, width: int, salt: int) -> Column:
+    """Array of {pos, h}: windows of so many tokens, hashed from the hashes of the tokens."""
+    h = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)], *([F.lit(salt)] if salt else []))
+    none = F.array().cast("array<struct<pos:int,h:bigint>>")
+    return F.when(F.size(hashes) >= width, F.transform(F.sequence(F.lit(0), F.size(hashes) - width), lambda i: F.struct(i.alias("pos"), h(i).alias("h")))).otherwise(none)
 
 
 def _literals(tokens: Column) -> Column:
@@ -68,12 +88,25 @@ def _literals(tokens: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the items: item_id, wpos, h of windows with literals; and item_id, tokens, typed, n_windows (distinct), n_places."""
+    """Of the items: item_id, wpos, h, width, bare of windows; and item_id, tokens, typed, n_windows (distinct), n_places.
+
+    Windows without literals are left out; an item that has no other is bare, and its windows are of its values.
+    """
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
     items = common.once(common.once(items, "tokens", marked_tokens(F.col("text"))), "typed", template(F.col("tokens")))
-    each = items.select("item_id", "tokens", "typed", F.posexplode(windows(F.col("typed"))).alias("wpos", "h"))
-    span = F.slice("typed", F.col("wpos") + 1, WINDOW)
-    each = each.where(_literals(span) >= F.least(F.lit(LITERALS), F.size(span))).select("item_id", "wpos", "h")
+    width = F.least(F.size("typed"), F.lit(WINDOW))
+
+    def of(tokens: str, salt: int) -> Column:
+        hashes = hashed(F.col(tokens))
+        out = _windows(hashes, WINDOW, salt)
+        for w in range(1, WINDOW):
+            out = F.when(F.size(tokens) == w, _windows(hashes, w, salt)).otherwise(out)
+        return out
+
+    told = F.filter(of("typed", 0), lambda x: _literals(F.slice("typed", x.pos + 1, WINDOW)) >= F.least(F.lit(LITERALS), width))
+    each = common.once(items, "told", told)
+    each = each.select("item_id", width.alias("width"), (F.size("told") == 0).alias("bare"), F.explode(F.when(F.size("told") > 0, F.col("told")).otherwise(of("tokens", 1))).alias("w"))
+    each = each.select("item_id", F.col("w.pos").alias("wpos"), F.col("w.h").alias("h"), "width", "bare")
     sizes = each.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"), F.countDistinct("wpos").alias("n_places"))
     return each, items.select("item_id", "tokens", "typed").join(sizes, "item_id")
 
@@ -83,15 +116,22 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
     Windows match anywhere in the whole text and are counted once each. Rows with equal doc_id count as one
     document; rows without doc_id are left out. Null and empty texts and items match nothing. Items with equal
-    texts are each found. Other columns are ignored.
+    texts are each found; a short item is found wherever its words stand in a row. Other columns are ignored;
+    empty tables give no rows.
     """
     each, items = benchmark_windows(benchmark)
     each = common.cut(spark, each.withColumn("rank", F.dense_rank().over(Window.partitionBy("item_id").orderBy("wpos"))), "benchmark-windows")
     items = common.cut(spark, items, "benchmark-items")
     small = each.count() <= BROADCAST_WINDOWS
+    # Documents are cut into windows of other widths, or of values, only if an item asks for them: at most ten rows.
+    asked_for = {(r["width"], int(r["bare"])) for r in each.select("width", "bare").distinct().collect()} or {(WINDOW, 0)}
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     typed = common.once(common.once(own, "tokens", marked_tokens(F.col("text"))).select("doc_id", "tokens"), "typed", template(F.col("tokens")))
-    seen = typed.select("doc_id", F.posexplode(windows(F.col("typed"))).alias("pos", "h"))
+    for bare, source in ((0, "typed"), (1, "tokens")):
+        if any(b == bare for _, b in asked_for):
+            typed = common.once(typed, f"hashes{bare}", hashed(F.col(source)))
+    cuts = [_windows(F.col(f"hashes{bare}"), width, bare) for width, bare in sorted(asked_for)]
+    seen = typed.select("doc_id", F.explode(F.concat(*cuts) if len(cuts) > 1 else cuts[0]).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
     hits = seen.join(F.broadcast(each) if small else each, "h").groupBy("doc_id", "item_id", (F.col("pos") - F.col("wpos")).alias("shift"))
     hits = common.cut(spark, hits.agg(F.collect_set("h").alias("held"), F.sort_array(F.collect_set("rank")).alias("ranks")), "benchmark-hits")
     # What stands at the item's places is read again from the few documents that hold a window of one.
