@@ -94,6 +94,11 @@ def text_bytes(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """A 64-bit key of a row's id and text (null and empty texts count alike), for rows whose ids repeat or are null."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def let(value, then):
     """then(value) with value computed once: Catalyst would copy the expression to each place that uses it, into lambdas too."""
     return F.get(F.transform(F.array(value), then), 0)

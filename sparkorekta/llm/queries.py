@@ -34,8 +34,7 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
     held = kneser_ney.in_fold(4, 2)
-    model = quality.train(spark, docs, labels, ~held)
-    return quality.score(spark, docs, model).select("doc_id", held.alias("held_out"), "content_score", "meta_score", "score", "keep")
+    return quality.classify(spark, docs, labels, ~held).select("doc_id", held.alias("held_out"), "content_score", "meta_score", "score", "keep")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,22 +143,37 @@ def _prefix_masks(bits: int, radius: int) -> list[int]:
     return [sum(1 << k for k in c) for d in range(min(radius, bits) + 1) for c in combinations(range(bits), d)]
 
 
-def link(spark: SparkSession, fps: DataFrame, radius: int = 2, group_rows: int = 4096) -> DataFrame:
+def link(spark: SparkSession, fps: DataFrame, radius: int = 2, group_rows: int = 4096, step: int = 4) -> DataFrame:
     """Edges a, b that join the same fingerprints as all pairs within radius do (a spanning forest of each task's pairs).
 
-    fps: rep long, fp long, distinct fps. Groups over twice group_rows are kept whole as an index but their
-    queries are dealt over several tasks, so a crowded prefix does not end in one task.
+    fps: rep long, fp long, distinct fps. A group of equal leading bits with over twice group_rows members is
+    split by `step` more bits, and again, so no group grows with the data; a fingerprint follows into those parts
+    whose leading bits still differ from its own in at most radius places.
     """
     n = fps.count()
     bits = max(0, math.ceil(math.log2(max(1, n) / group_rows)))
-    prefix = F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long")
-    at = fps.select("rep", "fp", prefix.alias("own"))
-    big = at.groupBy("own").agg(F.count("*").alias("m")).where(F.col("m") > 2 * group_rows)
-    big = big.select(F.col("own").alias("grp"), F.ceil(F.col("m") / group_rows).cast("int").alias("salts"))  # under n / group_rows rows
+    prefix = lambda d: F.shiftrightunsigned("fp", 64 - d) if d else F.lit(0).cast("long")
+    index = fps.select("rep", "fp", prefix(bits).alias("grp"))
     masks = F.array(*[F.lit(m).cast("long") for m in _prefix_masks(bits, radius)])
-    queries = at.select("rep", "fp", F.explode(F.filter(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m)), lambda g: g >= F.col("own"))).alias("grp"))
-    queries = queries.join(F.broadcast(big), "grp", "left").select("rep", "fp", "grp", F.pmod(F.xxhash64("fp"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("kind"))
-    index = at.join(F.broadcast(big), at.own == big.grp, "left").select("rep", "fp", F.col("own").alias("grp"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.lit(0).alias("kind"))
+    # Of two groups the fingerprints of the one with smaller leading bits visit the other.
+    queries = fps.select("rep", "fp", prefix(bits).alias("own")).select("rep", "fp", "own", F.explode(F.filter(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m)), lambda g: g >= F.col("own"))).alias("grp"))
+    queries = queries.select("rep", "fp", "grp", F.bit_count(F.col("grp").bitwiseXOR(F.col("own"))).alias("used"))
+    rows = []
+    while True:
+        big = index.groupBy("grp").agg(F.count("*").alias("m")).where(F.col("m") > 2 * group_rows).select("grp")
+        last = bits > 58 or (big := common.cut(spark, big, "simhash-crowded")).isEmpty()
+        few, asks = (index, queries) if last else (index.join(big, "grp", "left_anti"), queries.join(big, "grp", "left_anti"))
+        rows += [few.select("rep", "fp", "grp", F.lit(0).alias("kind"), F.lit(bits).alias("depth")), asks.select("rep", "fp", "grp", F.lit(1).alias("kind"), F.lit(bits).alias("depth"))]
+        if last:
+            break
+        bits += step
+        index = index.join(big, "grp", "left_semi").select("rep", "fp", prefix(bits).alias("grp"))
+        low = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(m.bit_count()).alias("d")) for m in _prefix_masks(step, radius)])
+        deeper = F.transform(F.filter(low, lambda x: x.d + F.col("used") <= radius), lambda x: F.struct(F.shiftleft("grp", step).bitwiseOR(prefix(bits).bitwiseAND(F.lit((1 << step) - 1).cast("long")).bitwiseXOR(x.m)).alias("g"), (x.d + F.col("used")).alias("used")))
+        queries = queries.join(big, "grp", "left_semi").select("rep", "fp", F.explode(deeper).alias("x")).where(F.col("x.g") >= prefix(bits)).select("rep", "fp", F.col("x.g").alias("grp"), "x.used")
+    both = rows[0]
+    for more in rows[1:]:
+        both = both.unionByName(more)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, rep, kind = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy(), pdf["kind"].to_numpy()
@@ -172,7 +187,7 @@ def link(spark: SparkSession, fps: DataFrame, radius: int = 2, group_rows: int =
             unite(inv[some[q]], inv[members[m]])
         return _star(ids, label())
 
-    return queries.unionByName(index).groupBy("grp", "salt").applyInPandas(search, "a long, b long")
+    return both.groupBy("depth", "grp").applyInPandas(search, "a long, b long")
 
 
 def classes(spark: SparkSession, marks: DataFrame, key: str) -> DataFrame:
@@ -264,8 +279,8 @@ def _verify(sets: Sets, at: np.ndarray, a: np.ndarray, b: np.ndarray, node: np.n
 
 
 def shingle_sets(docs: DataFrame, folder: str, size: int, lanes: int) -> DataFrame:
-    """doc_id, key (digest of the shingle set), fp, n (distinct shingles), wide, file, off: where the sorted set stands under folder."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("fp", pa.int64()), ("n", pa.int64()), ("wide", pa.binary()), ("file", pa.int64()), ("off", pa.int64())])
+    """doc_id, row (common.row_key), key (digest of the shingle set), fp, n (distinct shingles), wide, file, off: where the sorted set stands under folder."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("key", pa.binary()), ("fp", pa.int64()), ("n", pa.int64()), ("wide", pa.binary()), ("file", pa.int64()), ("off", pa.int64())])
 
     def run(batches):
         from pyspark import TaskContext
@@ -278,15 +293,15 @@ def shingle_sets(docs: DataFrame, folder: str, size: int, lanes: int) -> DataFra
                 for first in range(0, whole.num_rows, common.SLICE_ROWS):
                     batch = whole.slice(first, common.SLICE_ROWS)
                     rows = []
-                    for text in batch.column(1).to_pylist():
+                    for text in batch.column(2).to_pylist():
                         h = np.unique(shingle_hashes(text, size))
                         sig, raw = signature(h, lanes), h.tobytes()
                         rows.append((hashlib.blake2b(raw, digest_size=16).digest(), int(sig[:1].view(np.int64)[0]), len(h), sig.tobytes(), file, off))
                         out.write(raw)
                         off += len(h)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:])]], schema=schema)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[2:])]], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes("text").alias("b")).mapInArrow(run, "doc_id long, key binary, fp long, n long, wide binary, file long, off long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key().alias("row"), common.text_bytes("text").alias("b")).mapInArrow(run, "doc_id long, row long, key binary, fp long, n long, wide binary, file long, off long")
 
 
 def _shared_shingles(nodes: DataFrame, folder: str, bits: int) -> None:
@@ -426,7 +441,10 @@ def prefix_links(spark: SparkSession, nodes: DataFrame, folder: str, threshold:
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, threshold: float = 0.8, lanes: int = 16, group_rows: int = 4096, miss: float = 0.002, slack: float = 0.02) -> DataFrame:
-    """doc_id, component_id: groups joined by Jaccard similarity >= threshold of their sets of word shingles, exactly.
+    """doc_id, row, component_id, cluster: groups joined by Jaccard similarity >= threshold of their sets of word shingles, exactly.
+
+    row is common.row_key(); cluster tells the groups apart (null for texts without words), and component_id is
+    the smallest doc_id of the group, null if no row of it has one. One row per input row.
 
     Signatures make candidates, each is checked by the shingle sets themselves (64-bit hashes), and an exact
     prefix-filter join of what the signatures left apart finds the rest, so `miss` and `slack` set the work of
@@ -441,13 +459,15 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, threshol
     allow the threshold meet: a window is a band of sizes in the ratio 1/threshold and the next band. A group of
     over 8 x group_rows is compared block by block, so no task gets more than two blocks. No pairs leave a
     task, only a forest of them. Equal signatures (exact copies) meet once. Null and empty texts form one group.
-    Texts of fewer than `size` words are their whole sequence.
+    Texts of fewer than `size` words are their whole sequence; texts of any length are read whole. Rows with
+    equal doc_id are documents of their own. Other columns are ignored; an empty table gives no rows.
     """
     folder = common.local_path(common.scratch(spark, "shingles"))
     wide = common.cut(spark, shingle_sets(docs, folder, size, lanes), "wide")
     groups = wide.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.min(F.struct("n", "wide", "file", "off")).alias("s")).select("key", "rep", "m", "s.*")
-    groups = common.cut(spark, groups, "wide-groups")
-    nodes = groups.where("rep is not null and n > 0").select("rep", "wide", "n", "file", "off", F.floor(F.log(F.col("n")) / math.log(1 / threshold)).cast("int").alias("band"))
+    # A node is a number of the written row, so that texts whose rows have no doc_id are nodes of their own.
+    groups = common.cut(spark, groups.withColumn("node", F.monotonically_increasing_id()), "wide-groups")
+    nodes = groups.where("n > 0").select(F.col("node").alias("rep"), "wide", "n", "file", "off", F.floor(F.log(F.col("n")) / math.log(1 / threshold)).cast("int").alias("band"))
     sizes = {r["band"]: r["c"] for r in nodes.groupBy("band").agg(F.count("*").alias("c")).collect()}  # at most log(longest text) rows
     # A window's own band asks, the next band only answers.
     layout = {b: _tables(c + sizes.get(b + 1, 0), threshold, 64 * lanes, group_rows, miss) for b, c in sizes.items()}
@@ -508,8 +528,20 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, threshol
         return _star(rep, label())
 
     found = common.components(spark, rows.groupBy("key", "cell").applyInPandas(search, "a long, b long"))
-    joined = groups.where("rep is not null").join(found, groups.rep == found.node, "left").select("key", "m", "n", "file", "off", F.coalesce("component", "rep").alias("comp"))
+    joined = groups.join(found, "node", "left").select("key", "rep", "n", "file", "off", F.coalesce("component", "node").alias("comp"))
     joined = common.cut(spark, joined, "wide-joined")
     rest = common.components(spark, prefix_links(spark, joined.where("n > 0"), folder, threshold))
-    linked = joined.join(rest, joined.comp == rest.node, "left").select(F.col("key").alias("k"), F.coalesce("component", "comp").alias("c"))
-    return wide.join(linked, wide.key == linked.k, "left").select("doc_id", F.coalesce("c", "doc_id").alias("component_id"))
+    linked = joined.join(rest, joined.comp == rest.node, "left").select(F.col("key").alias("k"), "rep", F.coalesce("component", "comp").alias("cluster"))
+    linked = linked.join(linked.groupBy("cluster").agg(F.min("rep").alias("component_id")), "cluster").select("k", "cluster", "component_id")
+    return wide.join(linked, wide.key == linked.k).select("doc_id", "row", "component_id", "cluster")
+
+
+def copies(spark: SparkSession, docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """row (common.row_key), distinct: the rows of docs of which a near duplicate stays.
+
+    Of each group the row with the smallest doc_id stays (rows without one come last, then the smaller key
+    decides). Rows that are equal in doc_id and text have one key and stay or go together.
+    """
+    found = common.cut(spark, similar_groups(spark, docs, size, threshold), "similar-groups")
+    first = found.groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("cluster", F.col("first.row").alias("stays"))
+    return found.join(first, "cluster").where("row <> stays").select("row").distinct()

@@ -35,8 +35,8 @@ class Grams:
         return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int, usable=None) -> DataFrame:
-    """doc_id, text, label of about `most` labelled documents (all, if there are fewer), chosen by a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int, usable=None, keep: tuple[str, ...] = ("text",)) -> DataFrame:
+    """doc_id, the columns to keep, and label of about `most` labelled documents (all, if there are fewer), chosen by a hash of doc_id.
 
     A doc_id with several labels has the largest. The sampled labels are at most about `most` rows, so they are broadcast.
     """
@@ -45,22 +45,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int,
     n = own.count()
     if n > most:
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * most / n))
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(own), "doc_id")
+    return docs.select("doc_id", *keep).join(F.broadcast(own), "doc_id")
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable=None, most: int = TRAIN_DOCS) -> tuple:
-    """Sparse weights (indices, values, bias) fitted in one task on the bounded sample; without labels all weights are 0."""
+    """Sparse weights (indices, values, bias) fitted in one task on the bounded sample; without labels all weights are 0.
+
+    Texts become hashed features where they are read, so the fitting task gets at most 2**BITS integers a document.
+    """
+
+    def features(batches):
+        grams = Grams()
+        for whole in batches:
+            for at in range(0, whole.num_rows, common.SLICE_ROWS):
+                batch = whole.slice(at, common.SLICE_ROWS)
+                found = [np.unique(grams(text or "")).astype(np.int32) for text in batch.column(1).to_pylist()]
+                ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found))), batch.column(2)], names=["doc_id", "x", "label"])
 
     def fit(batches):
-        grams, rows = Grams(), []
+        rows = []
         for batch in batches:
-            for text, label in sorted(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                rows.append((np.unique(grams(text)).astype(np.int32), 1.0, float(label)))
-        index, value, bias = Ftrl(BITS, alpha=0.5, l1=4.0).fit(rows, EPOCHS).model()
-        yield pa.RecordBatch.from_pydict({"i": [index.tolist()], "w": [value.tolist()], "b": [bias]})
-
-    sample = labelled_sample(docs, labels, "toxic", most, usable)
-    got = sample.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(fit, "i array<long>, w array<double>, b double").first()
+            x, ends = batch.column(1).flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+            rows += [(x[ends[k] : ends[k + 1]].copy(), 1.0, float(label)) for k, label in enumerate(batch.column(2).to_pylist())]
+        if rows:
+            index, value, bias = Ftrl(BITS, alpha=0.5, l1=4.0).fit(rows, EPOCHS).model()
+            yield pa.RecordBatch.from_pydict({"i": [index.tolist()], "w": [value.tolist()], "b": [bias]})
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sample = labelled_sample(own, labels, "toxic", most, usable).mapInArrow(features, "doc_id long, x array<int>, label int")
+    got = sample.repartition(1).sortWithinPartitions("doc_id", F.hash("x"), "label").mapInArrow(fit, "i array<long>, w array<double>, b double").first()
     return (got["i"], got["w"], got["b"]) if got else ([], [], 0.0)
 
 
@@ -68,7 +82,8 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple, threshold: float =
     """doc_id, score (0 to 1), predicted (1 if score >= threshold), one row per input row.
 
     Whole texts are scored; null and empty ones get the bias alone. Each feature counts once a text, so
-    repeated words and lengths do not add up. Other columns are ignored; repeated rows get equal scores.
+    repeated words and lengths do not add up. Other columns are ignored; repeated rows get equal scores, a null
+    doc_id stays null, an empty table gives no rows.
     """
     sent = spark.sparkContext.broadcast((np.asarray(model[0], np.int32), np.asarray(model[1], np.float64), model[2]))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

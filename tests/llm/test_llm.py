@@ -179,6 +179,85 @@ def test_token_counts_and_bpe_equal_the_libraries(spark, docs):
     assert Counter(tuple(r) for r in bpe.decode(bpe.encode(own, path), path).collect()) == Counter(texts)
 
 
+def brute_contamination(tokens, typed, given, form):
+    """Whether a document holds an item, by the rule of decontaminate.contamination() written plainly."""
+    n, width = len(form), min(5, len(form))
+    if not n:
+        return False
+    literal = lambda w: not w.startswith("#")
+    item = [(k, tuple(form[k : k + width])) for k in range(n - width + 1) if sum(map(literal, form[k : k + width])) >= min(2, width)]
+    bare = not item
+    if bare:
+        item = [(k, tuple(given[k : k + width])) for k in range(n - width + 1)]
+    read = tokens if bare else typed
+    places = sorted({k for k, _ in item})
+    rank = {k: r for r, k in enumerate(places)}
+    shifts = {}
+    for p in range(len(read) - width + 1):
+        for k, w in item:
+            if tuple(read[p : p + width]) == w:
+                held, ranks = shifts.setdefault(p - k, (set(), set()))
+                held.add(w)
+                ranks.add(rank[k])
+    cells = {}
+    for s in shifts:
+        same = [0 <= i + s < len(typed) and typed[i + s] == form[i] for i in range(n)]
+        cells[s] = [i for i in range(n) if same[i] and (n == 1 or (i and same[i - 1]) or (i + 1 < n and same[i + 1]))]
+    held, whole = set(), False
+    for kind in range(3):
+        cell = lambda s: (math.floor(s / n), math.floor(s / n + 0.5), s)[kind]
+        for at in set(map(cell, shifts)):
+            own = [s for s in shifts if cell(s) == at]
+            fill = {}
+            for s in sorted(own, key=lambda s: (len(cells[s]), s)):
+                fill.update({i: s for i in cells[s]})
+            slots = Counter((given[i], tokens[i + s]) for i, s in fill.items() if form[i].startswith("#"))
+            best = {g: max(c for (x, _), c in slots.items() if x == g) for g, _ in slots}
+            if not slots or sum(best.values()) >= 0.8 * sum(slots.values()):
+                for s in own:
+                    held |= shifts[s][0]
+                    need = min(9, len(places))
+                    run = kind == 2 and any(set(range(r, r + need)) <= shifts[s][1] for r in shifts[s][1])
+                    whole = whole or run or len(fill) >= 0.8 * n
+    return whole or 2 * len(held) >= len({w for _, w in item})
+
+
+def test_decontamination_equals_a_plain_computation(spark):
+    r = random.Random(8)
+    kind = ["10", "7km", "five", "Paris", "New York", "km", "train", "leaves", "from", "meets", "on", "monday", "after", "and"]
+    items = [" ".join(["a", *(r.choice(kind) for _ in range(n))]) for n in (0, 1, 2, 3, 4, 8, 12, 20, 30, 45)] + ["12 13 14 15 16 17", "Say 5", "", None, items0 := "what is photosynthesis exactly?"]
+    texts = []
+    for t in items * 4:
+        w = (t or "").split()
+        for _ in range(r.randrange(4)):
+            if w:
+                k = r.randrange(len(w))
+                w[k : k + r.randrange(2)] = r.choice([[], [r.choice(kind)], [w[k]], [r.choice(kind), r.choice(kind)]])
+        texts.append(" ".join([*(r.choice(kind) for _ in range(r.randrange(9))), *w, *(r.choice(kind) for _ in range(r.randrange(9)))]))
+    texts += [f"we asked {items0} in class", "12 13 14 15 16 17", "22 23 24 25 26 27", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, t, 1) for k, t in enumerate(items)], "item_id long, text string, doc_id int")
+
+    def forms(df, key):
+        both = df.select(key, decontaminate.marked_tokens(F.col("text")).alias("t")).select(key, "t", decontaminate.template(F.col("t")).alias("f"))
+        return {x[0]: (x.t, x.f) for x in both.collect()}
+
+    d, b = forms(docs, "doc_id"), forms(bench, "item_id")
+    assert all(len(t) == len(f) for t, f in [*d.values(), *b.values()])
+    want = {(i, j) for i, x in d.items() for j, y in b.items() if brute_contamination(*x, *y)}
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contamination(spark, docs, bench).collect()}
+    assert got == want and len(want) > 40
+
+
+def test_decontamination_forms(spark):
+    """Short items inside texts, numbers with and without space before units, in words, and names of several words."""
+    base = "a coach from {} to the coast covers {} before it stops near {} again for lunch"
+    rows = [(1, base.format("New York", "7km", "New York")), (2, base.format("Paris", "five km", "Paris")), (3, base.format("Rio de Janeiro", "12 miles", "Oslo")), (4, "They asked: What is photosynthesis exactly? Nobody knew."), (5, "photosynthesis exactly what is")]
+    bench = spark.createDataFrame([(1, base.format("London", "5 km", "London")), (2, "What is photosynthesis exactly?")], "item_id long, text string")
+    got = {x.doc_id: x.item_ids for x in decontaminate.flag(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got[1] == [1] and got[2] == [1] and got[4] == [2] and got[5] == []
+
+
 def test_decontamination(spark):
     item = "a train leaves at 10 km from Paris and meets the other train after 20 minutes near Paris on monday evening"
     rows = [(1, item), (2, f"Intro here. {item.replace('10', '35').replace('Paris', 'London').replace('20', '7')} the end"), (3, item.replace("near Paris", "near Rome").replace("Paris and", "Oslo and")), (4, "nothing of it"), (5, None), (6, ""), (None, item), (7, item.upper())]
@@ -189,11 +268,82 @@ def test_decontamination(spark):
     assert decontaminate.contamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).count() == 0
 
 
+MIT = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software and associated documentation files,
+to deal in the Software
+without restriction.
+"""
+
+
 def test_licenses(spark):
-    rows = [(1, f"{prose(20)}\nReleased under the MIT License.\nend"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "the license of the driver was valid\n" + prose(30)), (4, None), (5, ""), (6, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."), (None, "Licensed under the Apache License, Version 2.0.")]
-    got = {r.doc_id: r for r in licenses.licences(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert (got[1].families, got[2].families, got[6].families, got[6].n_paragraphs) == (["mit"], ["gpl"], ["cc-by-nc"], 2)
-    assert all(got[k].families == [] for k in (3, 4, 5)) and len(got) == 7
+    long = " ".join(f"word{k % 97}" for k in range(3000))
+    rows = {
+        1: (f"{prose(20)}\nReleased under the MIT License.\nend", ["mit"], 1, 1),
+        2: ("This work is licensed under the GNU General Public License, version 3.", ["gpl"], 1, 1),
+        3: ("the license of the driver was valid\n" + prose(30), [], 0, 0),
+        4: (None, [], 0, 0),
+        5: ("", [], 0, 0),
+        6: ("Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.", ["cc-by-nc"], 1, 2),
+        7: (MIT, ["mit"], 1, 1),
+        8: ("MIT License\n\nnothing more", ["mit"], 1, 1),
+        9: ("// SPDX-License-Identifier: Apache-2.0\nint main;", ["apache-2.0"], 1, 1),
+        10: ("This is not released under the MIT License.", [], 0, 0),
+        11: (f"{long} Licensed under the Apache License, Version 2.0. {long}", ["apache-2.0"], 1, 1),
+        12: ("Licensed under CC BY-NC 4.0.\r\n\r\n \t\r\nAll rights reserved.", ["cc-by-nc", "proprietary"], 2, 2),
+        13: ("\n\n \n", [], 0, 0),
+        14: ("we wrote about the MIT License and why courts like it", [], 0, 0),
+    }
+    docs = spark.createDataFrame([(k, v[0], "clash") for k, v in rows.items()] + [(None, "Licensed under the Apache License, Version 2.0.", "x"), (1, rows[1][0], "x")], "doc_id long, text string, family string")
+    model = licenses.train(spark, docs)
+    got = licenses.licences(spark, docs, model).collect()
+    assert len(got) == len(rows) + 2 and Counter(r.doc_id for r in got)[1] == 2
+    for r in got:
+        _, families, paragraphs, notices = rows.get(r.doc_id, (None, [], 0, 0))
+        assert (r.families, r.n_paragraphs, r.n_notices) == (families, paragraphs, notices), r
+        assert (r.probability is None) == (not families) and (not families or 0.5 <= r.probability <= 1)
+    assert licenses.licences(spark, docs.limit(0), model).count() == 0
+
+
+def test_licence_scores_equal_a_plain_computation(spark):
+    """The joins against the model applied word by word in Python."""
+    filler = [f"filler{k}" for k in range(40)]
+    texts, want = [], []
+    for n, (family, notices) in enumerate(licenses.NOTICES.items()):
+        for i, t in enumerate(notices):
+            before = filler[(n + i) % 20 :][: 3 + i]
+            texts.append(" ".join([*before, t, *filler[:5]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = licenses.train(spark, docs)
+    got = {(r.doc_id, r.at, r.family): r.probability for r in licenses.scan(spark, docs, model).collect()}
+    grams = {(f, i): [tuple(w[k : k + 3]) for k in range(len(w) - 2)] for f, ts in licenses.NOTICES.items() for i, w in enumerate(map(licenses.words_of, ts))}
+    sign = {g for gs in grams.values() for g in gs}
+    for d, t in enumerate(texts):
+        w = licenses.words_of(t)
+        places = [k for k in range(len(w) - 2) if tuple(w[k : k + 3]) in sign]
+        for (family, i), gs in grams.items():
+            n = len(gs) + 2
+            for half in (0, 0.5):
+                cells = {}
+                for k in places:
+                    for pos in (p for p, g in enumerate(gs) if g == tuple(w[k : k + 3])):
+                        cells.setdefault(math.floor((k - pos) / n + half), []).append((k, pos))
+                for cell in cells.values():
+                    if len({p for _, p in cell}) / len(gs) >= licenses.CONTAINMENT:
+                        at, end = min(k for k, _ in cell), max(k for k, _ in cell) + 3
+                        own = licenses.grams_of(w[max(0, at - licenses.CONTEXT) : end])
+                        x = np.array(model.bias) + licenses.SCALE / math.sqrt(len(own)) * sum(np.array(model.weights[g]) for g in own if g in model.weights)
+                        p = 1 / (1 + math.exp(-(model.curve[0] * (np.logaddexp.reduce(x[:-1]) - x[-1]) + model.curve[1])))
+                        p *= math.exp(x[:-1].max() - np.logaddexp.reduce(x[:-1]))
+                        if model.classes[int(x[:-1].argmax())] == family and p >= licenses.PROBABILITY:
+                            want.append(((d, at, family), p, end))
+    best, ends = {}, {}
+    for key, p, end in want:
+        best[key], ends[key] = max(p, best.get(key, 0)), max(end, ends.get(key, 0))
+    best = {k: p for k, p in best.items() if not any(o[0] == k[0] and o[2] == k[2] and o[1] < k[1] < ends[o] for o in best)}
+    assert len(best) >= 0.9 * len(texts) and got.keys() == best.keys()
+    assert all(got[key] == pytest.approx(best[key]) for key in best)
 
 
 def test_warc(spark, tmp_path):
@@ -294,13 +444,12 @@ def test_decontamination_of_excerpts_and_edited_items(spark):
     assert got == {1: [1], 2: [2], 3: [2], 4: [1], 5: [], 6: []}
 
 
-def test_metadata_counts_capitals_of_the_whole_text():
+def test_content_counts_capitals_of_the_whole_text():
     for small, capital in (("a", "B"), ("ż", "Ż")):
         text = "".join(capital if k % 4 else small for k in range(4096))  # a stride of 8 meets small letters only
         assert quality.capitals(text) == 3072
-        of = lambda t: set(quality.Metadata()(t, "en", "s")[0].tolist())
-        shuffled = "".join(sorted(text))
-        assert of(text) == of(shuffled) != of(text.lower())
+        of = lambda t: set(quality.Content()(t)[0].tolist())
+        assert of(text) != of(text.lower())
 
 
 def test_kneser_ney_raises_for_a_lost_shard(spark, docs):
@@ -327,3 +476,83 @@ def test_kneser_ney_counts_beyond_a_byte(spark):
     hashes = common.WordHashes()([b"a", b"b"])
     raw = model.look_up(2, kneser_ney.gram_hash(np.stack([hashes, hashes[::-1]])))
     assert raw[:, 0].tolist() == [700.0, 699.0] and got[1].n_known == 1401
+
+
+def test_co_training_views_are_apart_and_use_all_unlabelled_rows(spark):
+    # What tells quality stands in the text and, for the pages without labels, in the source too.
+    good = [(k, prose(30), "en", f"good{k % 3}", 5) for k in range(400)]
+    bad = [(1000 + k, " ".join(f"{w}$$$" for w in prose(30).split()), "en", f"bad{k % 3}", 5) for k in range(400)]
+    odd = [(5000, None, None, None, None), (None, "", "en", "good1", 7), (5001, "z" * 50_000, "en", "bad1", -3), (5001, "z" * 50_000, "en", "bad1", -3)]
+    docs = spark.createDataFrame([(*r, "clash", 1.0) for r in [*good, *bad, *odd]], "doc_id long, text string, lang string, source string, n_chars long, keep string, score double")
+    feats = common.cut(spark, quality.features(docs), "test-features")
+    rows = feats.collect()
+    assert len(rows) == len(good) + len(bad) + len(odd)
+    by = {r.doc_id: r for r in rows}
+    assert by[0].mi == by[3].mi and by[0].mi != by[1].mi and (by[0].ci, by[0].cv) != (by[3].ci, by[3].cv)  # the metadata view does not see the text
+    labels = spark.createDataFrame([(r[0], int(r[0] < 1000)) for r in [*good, *bad] if r[0] % 3 == 0], "doc_id long, quality int")
+    model = quality.train_on(spark, feats, labels)
+    unlabelled = len(good) + len(bad) - labels.count()
+    assert model["sure"][0][0] >= 0.8 * unlabelled  # the content view has labelled all that it is sure of, not a sample
+    got = {r.doc_id: r for r in quality.score_on(spark, feats, model).collect()}
+    assert sum(got[r[0]].keep == (r[0] < 1000) for r in [*good, *bad]) >= 0.99 * (len(good) + len(bad))
+    # Without the text, the metadata view alone tells most pages.
+    assert sum((got[r[0]].meta_score >= 0.5) == (r[0] < 1000) for r in [*good, *bad]) >= 0.95 * (len(good) + len(bad))
+    assert quality.classify(spark, docs, labels.limit(0)).where("score <> 0.5").count() == 0
+    assert quality.classify(spark, docs.limit(0), labels).count() == 0
+    one = labels.where("quality = 1")
+    assert quality.classify(spark, docs, one).count() == len(rows)
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    """Weights and scores against a per-coordinate learner written with dictionaries."""
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(60)] + ["idiot", "moron"]
+    texts = [(k, " ".join(r.choice(words) for _ in range(r.randrange(0, 25)))) for k in range(120)]
+    docs = spark.createDataFrame([*texts, (None, "idiot"), (200, None), (201, "x" * 100_000), (0, "again idiot")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int("idiot" in t or "moron" in t)) for k, t in texts if k % 2] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(spark, docs, labels)
+    grams, z, n, rows = toxicity.Grams(), Counter(), Counter(), []
+    marks = {k: int("idiot" in t or "moron" in t) for k, t in texts if k % 2}
+    for k, t in sorted(texts):
+        if k in marks:
+            rows.append((sorted(set(grams(t).tolist())), marks[k]))
+    order = np.random.default_rng(11)
+
+    def weight(i, l1):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((1 + math.sqrt(n[i])) / 0.5)
+
+    for _ in range(toxicity.EPOCHS):
+        for k in order.permutation(len(rows)):
+            x, y = rows[k]
+            w = {i: weight(i, 4.0) for i in x}
+            w["bias"] = weight("bias", 0.0)
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in w:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.5 * w[i]
+                n[i] += g * g
+    want = {i: weight(i, 4.0) for i in z if i != "bias" and weight(i, 4.0)}
+    assert dict(zip(model[0], model[1])) == pytest.approx(want) and model[2] == pytest.approx(weight("bias", 0.0))
+    for row in toxicity.score(spark, docs, model).join(docs.withColumnRenamed("doc_id", "i"), F.col("doc_id").eqNullSafe(F.col("i"))).collect():
+        if row.doc_id != 0:
+            p = 1 / (1 + math.exp(-(weight("bias", 0.0) + sum(want.get(i, 0) for i in set(grams(row.text or "").tolist())))))
+            assert row.score == pytest.approx(p) and row.predicted == int(p >= 0.3)
+    assert toxicity.score(spark, docs.limit(0), model).count() == 0
+
+
+def test_token_counts_tell_words_of_one_hash_apart(spark, monkeypatch, tmp_path):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, "hello extraordinary hello"), (2, "")], "doc_id long, text string")
+    folder, shards = token_count.piece_table(df, path)
+    own = [b"hello", b"extraordinary"]
+    keys, counts = token_count._hash(own), np.array([len(sentencepiece.SentencePieceProcessor(model_file=path).encode(w.decode())) for w in own])
+    pieces = token_count.Pieces(folder, shards)
+    assert pieces.total(Counter({"hello": 2, "extraordinary": 1})) == 2 * counts[0] + counts[1] and shards == 1
+    with pytest.raises(LookupError):
+        pieces.look_up(["absent"])
+    pieces.open[0] = (np.sort(keys), np.array([9, 9]), {b"hello": 3})
+    pieces.known.clear()
+    assert pieces.total(Counter({"hello": 1, "extraordinary": 1})) == 12
+    assert token_count.token_counts(df.limit(0), path).count() == 0
