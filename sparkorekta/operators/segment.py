@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import let, scan
 
 #: Abbreviations whose dot ends no sentence.
 ABBREVIATIONS = "al doc dr itd itp m.in miedzy nr np prof r s tj tzn ul".split()
 _MASK = "\ue001"
+#: Fixed value: marks that close a quotation or bracket after a sentence's end.
 _CLOSING = "['\"”’»)\\]}]"
 
 
 def _with_offsets(pieces: Column) -> Column:
     """Array of {start, end, text} of consecutive pieces."""
-    step = lambda a, x: F.struct((a.at + F.length(x)).alias("at"), F.concat(a.out, F.array(F.struct(a.at.alias("start"), (a.at + F.length(x)).alias("end"), x.alias("text")))).alias("out"))
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")), step, lambda a: a.out)
+    kind = "struct<start:int,end:int,text:string>"
+    return scan(pieces, F.lit(0), kind, lambda at, x: (at + F.length(x), F.struct(at.alias("start"), (at + F.length(x)).alias("end"), x.alias("text"))))
 
 
 def paragraphs_of(text: Column) -> Column:
@@ -25,19 +26,28 @@ def paragraphs_of(text: Column) -> Column:
 
 
 def sentences_of(text: Column) -> Column:
-    """A sentence ends at . ! ? (with closing marks) before white space or the end, but not at an abbreviation's or a decimal's dot, and after a blank line."""
+    """A sentence ends at . ! ? (with closing marks) before white space or the end, but not at an abbreviation's or a decimal's dot, and after a blank line.
+
+    The first dot after an abbreviation that stands alone (dots aside) is masked by a character of equal length,
+    and no end begins in the dots after it; the pieces' texts are taken from the original.
+    """
     dots = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    masked = F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{N}}.])({dots})\.(?!\.)", f"$1{_MASK}")
-    ends = rf"(?s).+?(?:[.!?]+{_CLOSING}*(?=\s|\z)(?:\s*?(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)+)?|\r?\n[ \t]*\r?\n+|\z)"
-    pieces = let(F.regexp_extract_all(masked, F.lit(ends), F.lit(0)), _with_offsets)
-    return F.transform(pieces, lambda p: F.struct(p.start.alias("start"), p.end.alias("end"), F.translate(p.text, _MASK, ".").alias("text")))
+    known = rf"(?iu)(?<![\p{{L}}\p{{N}}.])({dots})\.(?=\.*(?![\p{{L}}\p{{N}}.]))"
+    ends = rf"(?s).+?(?:(?<!{_MASK}\.{{0,40}})[.!?]+{_CLOSING}*(?=\s|\z)(?:\s*?(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)+)?|\r?\n[ \t]*\r?\n+|\z)"
+
+    def cut(masked: Column) -> Column:
+        pieces = let(F.regexp_extract_all(masked, F.lit(ends), F.lit(0)), _with_offsets)
+        own = lambda p: F.struct(p.start.alias("start"), p.end.alias("end"), F.substring(text, p.start + 1, p.end - p.start).alias("text"))
+        return F.when(masked == text, pieces).otherwise(F.transform(pieces, own))
+
+    return let(F.when(text.rlike(known), F.regexp_replace(text, known, f"$1{_MASK}")).otherwise(text), cut)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, start, end, text."""
-    return docs.select("doc_id", F.posexplode(paragraphs_of(F.col("text"))).alias("pos", "p")).select("doc_id", "pos", "p.*")
+    """doc_id, pos, start, end, text. Null and empty texts have none."""
+    return docs.select("doc_id", F.posexplode(paragraphs_of(F.col("text").cast("string"))).alias("pos", "p")).select("doc_id", "pos", "p.*")
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, start, end, text."""
-    return docs.select("doc_id", F.posexplode(sentences_of(F.col("text"))).alias("pos", "p")).select("doc_id", "pos", "p.*")
+    """doc_id, pos, start, end, text. Null and empty texts have none."""
+    return docs.select("doc_id", F.posexplode(sentences_of(F.col("text").cast("string"))).alias("pos", "p")).select("doc_id", "pos", "p.*")

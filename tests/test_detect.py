@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from sparkorekta.functions.text import spans
-from sparkorekta.operators import detect, score, segment
+from sparkorekta.operators import catalog, detect, score, segment
 
 GOLDEN = [
     ("agreement.copula", "Ty jest zmęczony.", "Ty jesteś zmęczony."),
@@ -29,20 +29,96 @@ GOLDEN = [
     ("syntax.sentence_space", "Koniec.Nowe.", "Koniec. Nowe."),
     ("punctuation.abbreviation_dot", "Noże itp rzeczy.", "Noże itp. rzeczy."),
 ]
+GOLDEN += [
+    ("spelling.arcy_prefix", "To jest arcy Europa.", "To jest arcy-Europa."),
+    ("spelling.co_niemiara", "Mamy problemów coniemiara.", "Mamy problemów co niemiara."),
+    ("spelling.month_weekday_lowercase", "Spotkamy się w Poniedziałek.", "Spotkamy się w poniedziałek."),
+    ("spelling.proper_adjective_lowercase", "Uczę się języka Polskiego.", "Uczę się języka polskiego."),
+    ("spelling.sentence_initial_capital", "To działa. potem wróciłem.", "To działa. Potem wróciłem."),
+    ("syntax.comma_before_bo", "ZOSTAJĘ BO PADA.", "ZOSTAJĘ, BO PADA."),
+    ("syntax.comma_before_bo", "Uwaga: ZOSTAJĘ BO PADA.", "Uwaga: ZOSTAJĘ, BO PADA."),
+    ("syntax.initial_conditional_comma", "Jeśli pada zostaję w domu.", "Jeśli pada, zostaję w domu."),
+    ("syntax.initial_temporal_comma", "Gdy pada zostaję w domu.", "Gdy pada, zostaję w domu."),
+    ("syntax.missing_correlative", "Im więcej ćwiczę, bardziej rozumiem.", "Im więcej ćwiczę, tym bardziej rozumiem."),
+    ("syntax.missing_destination_preposition", "Pojechałem Warszawy.", "Pojechałem do Warszawy."),
+    ("syntax.quote_space", 'On powiedział"zatem."', 'On powiedział" zatem."'),
+    ("inflection.negated_widziec", "Uwaga: Nie widzę samochód i znów nie widzę samochód.", "Uwaga: Nie widzę samochodu i znów nie widzę samochodu."),
+    ("punctuation.abbreviation_dot", "Noże itp  rzeczy.", "Noże itp.  rzeczy."),
+]
 CLEAN = ["Pisz na zeby@a.pl.", "Strona www.zeby.pl działa.", "Słowo „zeby” jest złe.", "zmienna zeby_x = 1", "My jesteśmy gotowi.", "Mam 1,5 kg i 2.Xa", "No bo tak.", "Cena np,a", "", None]
+CLEAN += [
+    "Ona boi się.", "Ona boi się, lecz idzie.", "On boi ", "Muzeum Historii Polski", "Instytut Języka Polskiego", "język POLSKI", "W Poniedziałek odpoczywam", "w PONIEDZIAŁEK", "Był w Poniedziałek Wielkanocny", "Skończyłem.  teraz odpocznę",
+    "Skończyłem.\nteraz odpocznę", "Wywołaj `zeby()` teraz", "Nie mam czas i sił.", "Nie widzę samochód, nie widzę samochód.", "Nie mam czas", "Rzecz arcy, Europa", "arcy Europa", "(arcy Europa)", "Marka coniemiara", "To Coniemiara", "a = coniemiara", "To tylko bo tak.", "ZOSTAJĘ BO PADA I już",
+]
 
 
 def test_each_detector_and_clean_texts(spark):
     rows = [(k, s, t, w) for k, (s, t, w) in enumerate(GOLDEN)] + [(100 + k, "", t, t) for k, t in enumerate(CLEAN)]
     own = detect.analyze(spark.createDataFrame(rows, "doc_id long, source string, text string, want string"))
     own = own.withColumn("hit", F.filter("issues", lambda f: f.source == F.col("source"))).withColumn("got", detect.apply(F.coalesce("text", F.lit("")), F.col("hit")))
+    wrong = []
     for r in own.collect():
-        if r.source:
-            assert r.got == r.want, (r.source, r.got)
-        else:
-            assert r.issues == [], (r.text, r.issues)
+        if r.source and r.got != r.want or not r.source and r.issues:
+            wrong.append((r.source, r.text, r.got, [(f.source, f.start) for f in r.issues]))
         for f in r.issues:
-            assert r.text[f.start : f.end] == f.original and f.suggestion != f.original
+            assert r.text[f.start : f.end] == f.original and f.suggestion != f.original and f.message and f.explanation
+            assert catalog.SOURCES[f.rule_ord] == f.source
+    assert not wrong
+
+
+def test_linear_selection_equals_the_pairwise_rule(spark):
+    rnd = random.Random(3)
+    rows = []
+    for k in range(150):
+        spans_ = sorted({(a, a + rnd.randrange(4)) for a in (rnd.randrange(20) for _ in range(rnd.randrange(90)))})
+        rows.append((k, [(a, b, "x" * (b - a), "y", "syntax", "suggestion", "m", "e", 0.9, "s", 0) for a, b in spans_]))
+    df = spark.createDataFrame(rows, f"doc_id int, issues array<{detect.FINDING}>")
+    for r in df.select("issues", detect.select(F.col("issues")).alias("chosen")).collect():
+        want = []
+        for x in r.issues:
+            def clash(y):
+                if x.start == x.end and y.start == y.end:
+                    return x.start == y.start
+                if x.start == x.end or y.start == y.end:
+                    i, s = (x, y) if x.start == x.end else (y, x)
+                    return s.start <= i.start <= s.end
+                return x.start < y.end and y.start < x.end
+            if not any(map(clash, want)):
+                want.append(x)
+        assert r.chosen == want
+
+
+def test_explicit_application_and_its_errors(spark):
+    text = "Zeby jutro,powiem,tak."
+    base = detect.analyze(spark.createDataFrame([(1, text, "clash")], "doc_id long, text string, issues string"))
+    ids = [x["__ids"] for x in detect.with_issue_ids(base).collect()][0]
+    cases = [([], None, text), (ids[:1], None, "Żeby jutro,powiem,tak."), (ids[::-1], None, "Żeby jutro, powiem, tak."), ([ids[0], ids[0]], detect.UNKNOWN, None), (["no"], detect.UNKNOWN, None), ([""], detect.UNKNOWN, None), (None, detect.UNKNOWN, None)]
+    picks = spark.createDataFrame([(k, c) for k, (c, _, _) in enumerate(cases)], "n int, chosen array<string>")
+    got = {r.n: (r.error_code, r.corrected) for r in detect.apply_selected(picks.crossJoin(base)).collect()}
+    assert [got[k] for k in range(len(cases))] == [c[1:] for c in cases]
+    two = base.withColumn("issues", F.concat("issues", F.transform(F.slice("issues", 1, 1), lambda f: f.withField("suggestion", F.lit("Aby")))))
+    both = [x["__ids"] for x in detect.with_issue_ids(two).collect()][0]
+    assert detect.apply_selected(two.withColumn("chosen", F.array(F.lit(both[0]), F.lit(both[-1])))).first().error_code == detect.CONFLICT
+    none = base.withColumn("issues", F.transform("issues", lambda f: f.withField("suggestion", F.lit(None).cast("string"))))
+    own = [x["__ids"] for x in detect.with_issue_ids(none).collect()][0]
+    assert detect.apply_selected(none.withColumn("chosen", F.array(F.lit(own[0])))).first().error_code == detect.UNCORRECTABLE
+
+
+def test_policy_and_normalisation(spark):
+    found = detect.with_ids(detect.findings(spark.createDataFrame([(1, "Zeby jutro,powiem Napewno itp rzeczy.")], "doc_id long, text string")))
+    names = ["ord", "source", "category", "operation", "behavior_version", "severity", "confidence", "needs_morphology"]
+    table = spark.createDataFrame(catalog.entries(), names)
+    rows = spark.createDataFrame(catalog.policy(), ["source", "category", "operation", "behavior_version", "policy_version", "minimum_confidence"])
+    assert len(catalog.entries()) == 63 and rows.count() == 8
+    held = {r.source for r in detect.join_policy(found, table, rows).collect()}
+    assert held == {"spelling.zeby", "syntax.comma_space"}
+    assert {r.source for r in found.where(detect.eligible(F.struct("source", "category", "confidence"))).collect()} == held
+    for column in ("category", "operation", "behavior_version", "policy_version"):
+        assert detect.join_policy(found, table, rows.withColumn(column, F.concat(column, F.lit("x")))).count() == 0
+    assert detect.join_policy(found.withColumn("confidence", F.lit(0.89)), table, rows).count() == 0
+    twice = found.unionByName(found.withColumn("confidence", F.lit(0.1)))
+    own = detect.normalize_findings(twice, ["spelling"], 0.05).orderBy("rank").collect()
+    assert [(r.source, r.confidence, r["rank"]) for r in own] == [("spelling.zeby", 0.98, 1), ("spelling.napewno", 0.98, 2)]
 
 
 def test_compat_keeps_the_unbounded_copula(spark):
@@ -67,7 +143,7 @@ def test_spans_equal_finditer(spark):
 
 def test_segments_concatenate(spark):
     rnd = random.Random(5)
-    texts = ["".join(rnd.choice(["a", " ", ".", "!", "np.", "\n", "\r\n", "”", "1.5", "Ż"]) for _ in range(rnd.randrange(30))) for _ in range(200)]
+    texts = ["".join(rnd.choice(["a", " ", ".", "!", "np.", "itd...", "\ue001", "\n", "\r\n", "”", "1.5", "Ż"]) for _ in range(rnd.randrange(30))) for _ in range(200)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for of in (segment.paragraphs_of, segment.sentences_of):
         for r in df.select("text", of(F.col("text")).alias("p")).collect():
@@ -75,6 +151,13 @@ def test_segments_concatenate(spark):
             assert all(r.text[p.start : p.end] == p.text for p in r.p)
 
 
+def test_abbreviations_end_no_sentence(spark):
+    rows = [("Noże itd... Potem m.in. tak. Koniec!", ["Noże itd... Potem m.in. tak.", " Koniec!"]), ("Ma 1.5 kg. Nie xnp. Tak", ["Ma 1.5 kg.", " Nie xnp.", " Tak"]), ("NP. tak.", ["NP. tak."])]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: [p.text for p in r.p] for r in df.select("doc_id", segment.sentences_of(F.col("text")).alias("p")).collect()}
+    assert [got[k] for k in range(len(rows))] == [w for _, w in rows]
+
+
 def test_scores_and_personal_data(spark):
     kinds = "doc_id long, start int, end int, category string, original string, suggestion string"
     cases = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
