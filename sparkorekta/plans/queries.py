@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detect, score, segment
-from ..operators.catalog import AUTOMATIC, LITERALS, MORPHOLOGY, rules
+from ..operators.catalog import AUTOMATIC, POLICY_VERSION, entries, policy
+from ..sources import io
+from .planted import IN_TEXT, PLANTED, expected_rows
 
 L = "A-Za-ząćęłńóśźżĄĆĘŁŃÓŚŹŻ"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text")
+    return io.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
 
 
 def _glued(spark, sf_dir):
@@ -39,7 +41,77 @@ def det_literal_family(spark, sf_dir):
 
 
 def det_default_profile(spark, sf_dir):
-    return detect.findings(_glued(spark, sf_dir)).groupBy("source", "category").agg(F.count("*").alias("n"))
+    own = _glued(spark, sf_dir).withColumn("text", F.translate("text", "\"„”“«»", ""))
+    return detect.findings(own).groupBy("source", "category").agg(F.count("*").alias("n"))
+
+
+def _with_sentence(docs: DataFrame, sentences: list[str]) -> DataFrame:
+    """docs with the sentence that the doc_id picks."""
+    return docs.withColumn("sentence", F.element_at(F.array(*map(F.lit, sentences)), (F.col("doc_id") % len(sentences) + 1).cast("int")))
+
+
+_FOUND = ("doc_id", "source", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "suggestion")
+
+
+def det_every_source(spark, sf_dir):
+    """A sentence for each detector of the default profile in place of the texts."""
+    own = _with_sentence(_docs(spark, sf_dir), [t for t, _ in PLANTED]).select("doc_id", F.col("sentence").alias("text"))
+    return detect.findings(own).select(*_FOUND)
+
+
+def det_planted_in_texts(spark, sf_dir):
+    """The sentences that need no whole input, after texts of letters and spaces."""
+    own = _with_sentence(_docs(spark, sf_dir), [t for t, _ in IN_TEXT]).withColumn("clean", F.regexp_replace("text", r"[^\p{L} ]", " "))
+    own = own.select("doc_id", F.length("clean").alias("size"), F.concat("clean", F.lit(". "), "sentence").alias("text"))
+    return detect.analyze(own).select("doc_id", "size", F.explode("issues").alias("f")).where("f.start > size + 1").select("doc_id", "f.source", (F.col("f.start") - F.col("size")).cast("long").alias("start_at"), (F.col("f.end") - F.col("size")).cast("long").alias("end_at"), "f.suggestion")
+
+
+def correct_planted(spark, sf_dir):
+    own = _with_sentence(_docs(spark, sf_dir), [t for t, _ in PLANTED]).select("doc_id", F.col("sentence").alias("text"))
+    return detect.correct(own).select("doc_id", "corrected", F.size("applied").cast("long").alias("n_applied"), F.size("skipped").cast("long").alias("n_skipped"))
+
+
+def policy_join(spark, sf_dir):
+    """Findings that the five-column key of the automatic policy holds."""
+    own = _with_sentence(_docs(spark, sf_dir), [t for t, _ in PLANTED]).select("doc_id", F.col("sentence").alias("text"))
+    return detect.join_policy(detect.findings(own), _catalog(spark), _policy(spark)).groupBy("source").agg(F.count("*").alias("n"))
+
+
+def _catalog(spark):
+    return spark.createDataFrame(entries(), "ord int, source string, category string, operation string, behavior_version string, severity string, confidence double, needs_morphology boolean")
+
+
+def _policy(spark):
+    return spark.createDataFrame(policy(), "source string, category string, operation string, behavior_version string, policy_version string, minimum_confidence double")
+
+
+def greedy_selected(spark, sf_dir):
+    """Made-up findings of each document, some of which overlap: insertions at 3 and replacements of growing length."""
+    own = _docs(spark, sf_dir).withColumn("k", (F.col("doc_id") % 7).cast("int"))
+    one = lambda a, b, conf: detect.finding(F.lit(a) + F.col("k"), F.lit(b) + F.col("k"), F.repeat(F.lit("x"), F.lit(b - a)), F.lit("y"), "syntax", "suggestion", F.lit(conf), F.lit("syntax.comma_space"))
+    made = F.array(one(0, 2, 0.9), one(1, 4, 0.9), one(2, 2, 0.9), one(3, 3, 0.9), one(4, 6, 0.9), one(6, 6, 0.9), one(7, 9, 0.9), one(8, 9, 0.9))
+    return own.select("doc_id", detect.select(detect.canonical(made)).alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.array_join(F.transform("s", lambda f: F.concat_ws("-", f.start.cast("string"), f.end.cast("string"))), ",").alias("chosen"))
+
+
+def norm_dedup(spark, sf_dir):
+    """Findings doubled with another confidence, normalised: the three best of each document."""
+    found = detect.with_ids(detect.findings(_glued(spark, sf_dir), sources=["syntax.comma_space"]))
+    own = detect.normalize_findings(found.unionByName(found.withColumn("confidence", F.lit(0.5))), ["punctuation"], 0.4)
+    return own.where("rank <= 3").select("doc_id", F.col("start").cast("long").alias("start_at"), "confidence", F.col("rank").cast("long").alias("rank"))
+
+
+def result_json_round_trip(spark, sf_dir):
+    """Results written as canonical JSON and read back strictly; every seventh is damaged first."""
+    own = _with_sentence(_docs(spark, sf_dir), [t for t, _ in PLANTED]).select("doc_id", F.col("sentence").alias("text"))
+    coded = io.to_result_json(detect.analyze(own))
+    coded = coded.withColumn("json", F.when(F.col("doc_id") % 7 == 0, F.replace("json", F.lit('"schema_version":1'), F.lit('"schema_version":2'))).otherwise(F.col("json")))
+    return io.from_result_json(coded).select("doc_id", "valid", F.when(F.col("valid"), F.col("r.text")).otherwise("").alias("text"), F.when(F.col("valid"), F.size("r.issues")).otherwise(-1).cast("long").alias("n"))
+
+
+def seg_single(spark, sf_dir):
+    """Whether the first line of a text is one sentence: letters and dots only."""
+    own = _docs(spark, sf_dir).select("doc_id", F.regexp_replace(F.substring_index("text", "\n", 1), r"[^\p{L} .]", "").alias("t"))
+    return own.select("doc_id", (F.size(segment.sentences_of(F.col("t"))) == 1).alias("single"))
 
 
 def apply_corrections(spark, sf_dir):
@@ -51,8 +123,14 @@ def seg_paragraphs(spark, sf_dir):
     return segment.paragraphs(own).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end").cast("long").alias("size"))
 
 
+def _worded(column="text"):
+    """Letters and single spaces, with a full stop before each ` the `, ` der `, ` de ` or ` le `."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(column, r"[^\p{L} \n]", ""), r"[ \n]+", " "), r" (the|der|de|le) ", ". $1 ")
+
+
 def seg_sentences(spark, sf_dir):
-    return segment.sentences(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end").cast("long").alias("size"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x.text), "")).alias("digest"))
+    own = _docs(spark, sf_dir).withColumn("text", _worded())
+    return segment.sentences(own).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end").cast("long").alias("size"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x.text), "")).alias("digest"))
 
 
 def find_by_language(spark, sf_dir):
@@ -92,10 +170,9 @@ def pii_scan(spark, sf_dir):
 
 
 def rule_catalog(spark, sf_dir):
-    """The active detectors and those that wait for a morphology provider; literals by their own sources."""
-    names = [s for r in rules() for s in ({f"spelling.{x[2]}" for x in LITERALS} if r.source.endswith("*") else {r.source})]
-    rows = [(s, False) for s in sorted(set(names))] + [(s, True) for s in MORPHOLOGY]
-    return spark.createDataFrame(rows, "source string, needs_morphology boolean").withColumn("automatic", F.col("source").isin(AUTOMATIC))
+    """All detectors by category: how many there are, how many wait for a lexicon, how many are applied without asking."""
+    own = _catalog(spark).withColumn("automatic", F.col("source").isin(AUTOMATIC))
+    return own.groupBy("category").agg(F.count("*").alias("n"), F.count_if("needs_morphology").alias("waiting"), F.count_if("automatic").alias("automatic"), F.countDistinct("source").alias("sources"), F.min("ord").cast("long").alias("first"))
 
 
 def conv_turn_findings(spark, sf_dir):
@@ -119,7 +196,10 @@ def template_distance(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = [det_comma_space, det_sentence_space, det_duplicate_comma, det_literal_family, det_default_profile, apply_corrections, seg_paragraphs, seg_sentences, find_by_language, score_counts, length_percentiles, leak_exact, leak_template, neardup_jaccard, pii_scan, rule_catalog, conv_turn_findings, score_by_source, template_distance]
+    own = [
+        det_comma_space, det_sentence_space, det_duplicate_comma, det_literal_family, det_default_profile, det_every_source, det_planted_in_texts, correct_planted, apply_corrections, policy_join, greedy_selected, norm_dedup,
+        seg_paragraphs, seg_sentences, seg_single, find_by_language, score_counts, length_percentiles, leak_exact, leak_template, neardup_jaccard, pii_scan, rule_catalog, conv_turn_findings, score_by_source, template_distance, result_json_round_trip,
+    ]
     return {f.__name__: f for f in own}
 
 
@@ -136,8 +216,45 @@ w AS (SELECT doc_id, lang, i, len(s) AS n, length(piece) AS size, right(piece, 1
 hits AS (SELECT doc_id, lang, CAST(start_at AS BIGINT) AS start_at FROM w WHERE i < n AND regexp_matches(coalesce(nxt, ''), '^[{after}]') AND NOT regexp_matches(b, '[0-9]$'))"""
 
 
+def _values(rows: list[tuple], names: str) -> str:
+    """A table of literals."""
+    one = lambda x: "NULL" if x is None else str(x) if isinstance(x, int | float) else "'" + str(x).replace("'", "''") + "'"
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({names}))"
+
+
+#: Hits of `bo` and its like in texts without quotes, from words between spaces.
+_CAUSAL = r"""c AS (SELECT string_split(text, ' ') AS s FROM g),
+bo AS (SELECT CAST(sum(len(list_filter(range(2, len(s)), lambda i: s[i] IN ('bo', 'ponieważ', 'gdyż') AND regexp_matches(s[i + 1], '^[a-ząćęłńóśźż]') AND regexp_matches(s[i - 1], '[A-Za-ząćęłńóśźżĄĆĘŁŃÓŚŹŻ]$')
+ AND lower(regexp_extract(s[i - 1], '[^\\s]*$')) NOT IN ('no', 'a', 'i', 'oraz', 'ale', 'lecz', 'czy', 'to', 'więc', 'lub', 'albo', 'ani', 'bądź', 'nie', 'tylko', 'jedynie', 'właśnie', 'jak', 'jako', 'niż')))) AS BIGINT) AS n FROM c)"""
+_WEIGHED = "list_sum(list_transform(range(1, {n}), lambda i: TRY_CAST(d[i] AS INT) * {w}[i]))"
+
+
+def _pii_sql() -> str:
+    def digits(n: int, weights: tuple[int, ...]) -> str:
+        return _WEIGHED.format(n=n, w=list(weights))
+
+    luhn = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN TRY_CAST(d[i] AS INT) WHEN TRY_CAST(d[i] AS INT) > 4 THEN 2 * TRY_CAST(d[i] AS INT) - 9 ELSE 2 * TRY_CAST(d[i] AS INT) END)) % 10 = 0"
+    kinds = {
+        "pesel": f"length(d) = 11 AND (10 - {digits(11, score.PESEL)} % 10) % 10 = TRY_CAST(d[11] AS INT)",
+        "nip": f"length(d) = 10 AND {digits(10, score.NIP)} % 11 = TRY_CAST(d[10] AS INT)",
+        "regon": f"((length(d) = 9 AND {digits(9, score.REGON9)} % 11 % 10 = TRY_CAST(d[9] AS INT)) OR (length(d) = 14 AND {digits(14, score.REGON14)} % 11 % 10 = TRY_CAST(d[14] AS INT)))",
+        "card": f"length(d) BETWEEN 13 AND 19 AND {luhn}",
+        "phone": "(length(d) = 9 OR (length(d) = 11 AND starts_with(d, '48')) OR (length(d) = 13 AND starts_with(d, '0048')))",
+    }
+    count = lambda p: f"CAST(len(regexp_extract_all(coalesce(text, ''), '{p}')) AS BIGINT)"
+    own = ", ".join(f"CAST(count(*) FILTER ({test}) AS BIGINT) AS {k}" for k, test in kinds.items())
+    return f"""WITH r AS (SELECT doc_id, text, list_filter(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '[0-9]+'), lambda x: length(x) BETWEEN 9 AND 19) AS runs FROM documents),
+u AS (SELECT doc_id, unnest(runs) AS d FROM r), k AS (SELECT doc_id, {own} FROM u GROUP BY doc_id)
+SELECT doc_id, {count(r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}")} AS emails, {count(r"(?i)https?://[^\s]+")} AS urls, {count(r"(?i)<(?:email|url|phone|name)>|\[(?:email|url|phone|name)\]")} AS placeholders, {", ".join(f"coalesce({k}, 0) AS {k}" for k in kinds)} FROM r LEFT JOIN k USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     upper = "A-ZĄĆĘŁŃÓŚŹŻ"
+    rows, inside = expected_rows(PLANTED), expected_rows(IN_TEXT)
+    picked = f"(SELECT doc_id, doc_id % {len(PLANTED)} AS k FROM documents)"
+    sentences = _values([(k, t) for k, (t, _) in enumerate(PLANTED)], "k, sentence")
+    plainly = _GLUED.replace(" FROM documents)", " FROM (SELECT doc_id, lang, source, translate(text, '\"„”“«»', '') AS text FROM documents))")
+    both = f"g AS {_GLUED}, " + _places("g", ",", L).replace("hits AS", "commas AS") + ", " + _places("g", ".", upper).replace("p AS", "p2 AS").replace("FROM p)", "FROM p2)").replace("u AS", "u2 AS").replace("FROM u)", "FROM u2)").replace("w AS", "w2 AS").replace("FROM w WHERE", "FROM w2 WHERE").replace("hits AS", "dots AS")
     comma = f"WITH g AS {_GLUED}, {_places('g', ',', L)}"
     dot = f"WITH g AS {_GLUED}, {_places('g', '.', upper)}"
     plain = "(SELECT doc_id, replace(replace(regexp_replace(text, '[^\\p{L} \\n]', '', 'g'), ' the ', ' zeby '), ' de ', ' Napewno ') AS text FROM documents)"
@@ -145,6 +262,38 @@ def oracle_sql() -> dict[str, str]:
     for mark, after in ((",", L), (",", L), ("\\.", upper), ("\\.", upper)):  # twice, as a match uses up the letter that the next one needs
         fixed = f"regexp_replace({fixed}, '(^|[^0-9]){mark}([{after}])', '\\1{mark[-1]} \\2', 'g')"
     return {
+        "det_duplicate_comma": f"""WITH g AS (SELECT doc_id, string_split(replace(replace(text, '"', ''), ', ', ',, '), ',,') AS s FROM documents),
+u AS (SELECT doc_id, unnest(s) AS piece, generate_subscripts(s, 1) AS i FROM g),
+w AS (SELECT doc_id, i, piece, lead(piece) OVER (PARTITION BY doc_id ORDER BY i) AS nxt, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) + 2 * (i - 1) AS first FROM u)
+SELECT doc_id, CAST(first + 1 AS BIGINT) AS start_at, '' AS suggestion FROM w WHERE regexp_matches(piece, '[{L}]$') AND regexp_matches(coalesce(nxt, ''), '^\\s+[{L}]') AND first > 0""",
+        "det_default_profile": f"""WITH g AS {plainly}, {_places("g", ",", L).replace("hits AS", "commas AS")}, {_places("g", ".", upper).replace("p AS", "p2 AS").replace("FROM p)", "FROM p2)").replace("u AS", "u2 AS").replace("FROM u)", "FROM u2)").replace("w AS", "w2 AS").replace("FROM w WHERE", "FROM w2 WHERE").replace("hits AS", "dots AS")}, {_CAUSAL}
+SELECT * FROM (SELECT 'syntax.comma_space' AS source, 'punctuation' AS category, count(*) AS n FROM commas UNION ALL SELECT 'syntax.sentence_space', 'punctuation', count(*) FROM dots UNION ALL SELECT 'syntax.comma_before_bo', 'syntax', n FROM bo) WHERE n > 0""",
+        "det_every_source": f"SELECT doc_id, source, CAST(start_at AS BIGINT) AS start_at, CAST(end_at AS BIGINT) AS end_at, suggestion FROM {picked} JOIN {_values(rows, 'k, source, start_at, end_at, suggestion')} USING (k)",
+        "det_planted_in_texts": f"SELECT doc_id, source, CAST(start_at + 2 AS BIGINT) AS start_at, CAST(end_at + 2 AS BIGINT) AS end_at, suggestion FROM (SELECT doc_id, doc_id % {len(IN_TEXT)} AS k FROM documents) JOIN {_values(inside, 'k, source, start_at, end_at, suggestion')} USING (k)",
+        "correct_planted": f"""WITH e AS (SELECT k, source IN ({", ".join(f"'{a}'" for a in AUTOMATIC)}) AS auto, start_at, end_at, suggestion, row_number() OVER (PARTITION BY k ORDER BY start_at DESC) AS r FROM {_values(rows, 'k, source, start_at, end_at, suggestion')}),
+RECURSIVE_ AS (SELECT 1), t AS (SELECT k, sentence FROM {sentences}),
+a AS (SELECT k, start_at, end_at, suggestion FROM e WHERE auto),
+p AS (SELECT t.k, sentence, coalesce(list_sort(list({{'s': start_at, 'e': end_at, 'x': suggestion}}) FILTER (start_at IS NOT NULL)), []) AS l FROM t LEFT JOIN a ON a.k = t.k GROUP BY t.k, sentence),
+c AS (SELECT k, array_to_string(list_transform(range(1, len(l) + 2), lambda i: substr(sentence, CASE WHEN i = 1 THEN 1 ELSE l[i - 1].e + 1 END, CASE WHEN i > len(l) THEN 100000 ELSE l[i].s - CASE WHEN i = 1 THEN 0 ELSE l[i - 1].e END END) || CASE WHEN i > len(l) THEN '' ELSE l[i].x END), '') AS corrected, len(l) AS n FROM p),
+m AS (SELECT k, count(*) AS m FROM e GROUP BY k)
+SELECT doc_id, corrected, CAST(n AS BIGINT) AS n_applied, CAST(coalesce(m, 0) - n AS BIGINT) AS n_skipped FROM {picked} JOIN c USING (k) LEFT JOIN m USING (k)""".replace("RECURSIVE_ AS (SELECT 1), ", ""),
+        "policy_join": f"SELECT source, count(*) AS n FROM {picked} JOIN {_values(rows, 'k, source, start_at, end_at, suggestion')} USING (k) WHERE source IN ('agreement.copula', 'spelling.jestes', 'spelling.wlasnie', 'spelling.zeby', 'syntax.comma_space', 'syntax.list_space', 'syntax.quote_space', 'syntax.sentence_space') GROUP BY source",
+        # Of the spans 0-2, 1-4, 2-2, 3-3, 4-6, 6-6, 7-9, 8-9 the second, third, sixth and last meet one that is taken.
+        "greedy_selected": "SELECT doc_id, CAST(4 AS BIGINT) AS n, array_to_string(list_transform([[0, 2], [3, 3], [4, 6], [7, 9]], lambda x: (x[1] + doc_id % 7) || '-' || (x[2] + doc_id % 7)), ',') AS chosen FROM documents",
+        "norm_dedup": comma + " SELECT doc_id, start_at, CAST(0.9 AS DOUBLE) AS confidence, row_number() OVER (PARTITION BY doc_id ORDER BY start_at) AS rank FROM hits QUALIFY rank <= 3",
+        "result_json_round_trip": f"WITH n AS (SELECT k, count(*) AS n FROM {_values(rows, 'k, source, start_at, end_at, suggestion')} GROUP BY k) SELECT doc_id, doc_id % 7 <> 0 AS valid, CASE WHEN doc_id % 7 <> 0 THEN sentence ELSE '' END AS text, CAST(CASE WHEN doc_id % 7 <> 0 THEN coalesce(n, 0) ELSE -1 END AS BIGINT) AS n FROM {picked} JOIN {sentences} USING (k) LEFT JOIN n USING (k)",
+        "seg_sentences": r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[^\p{L} \n]', '', 'g'), '[ \n]+', ' ', 'g'), ' (the|der|de|le) ', '. \1 ', 'g') AS t FROM documents)
+SELECT doc_id, CAST(1 + len(list_filter(string_split(t, '. ')[:-2], lambda x: lower(regexp_extract(x, '[^ ]*$')) NOT IN ('al', 'doc', 'dr', 'itd', 'itp', 'miedzy', 'nr', 'np', 'prof', 'r', 's', 'tj', 'tzn', 'ul'))) AS BIGINT) AS n,
+ CAST(length(t) AS BIGINT) AS size, md5(t) AS digest FROM t WHERE t <> ''""",
+        "seg_single": r"""WITH t AS (SELECT doc_id, regexp_replace(string_split(text, chr(10))[1], '[^\p{L} .]', '', 'g') AS t FROM documents),
+d AS (SELECT doc_id, t, range(1, length(t) + 1) AS r FROM t),
+b AS (SELECT doc_id, t, list_filter(r, lambda i: substr(t, i, 1) = '.' AND substr(t, i + 1, 1) IN (' ', '') AND NOT lower(rtrim(regexp_extract(substr(t, 1, i), '[^ ]*$'), '.')) IN ('al', 'doc', 'dr', 'itd', 'itp', 'm.in', 'miedzy', 'nr', 'np', 'prof', 'r', 's', 'tj', 'tzn', 'ul')) AS e FROM d)
+SELECT doc_id, t <> '' AND len(e) + CASE WHEN len(e) > 0 AND e[-1] = length(t) THEN 0 ELSE 1 END = 1 AS single FROM b""",
+        "score_counts": f"""WITH {both}, x AS (SELECT (SELECT count(*) FROM documents) AS cases, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM commas)) AS correct_cases, (SELECT count(*) FROM commas) AS c, (SELECT count(*) FROM dots) AS d,
+ (SELECT count(DISTINCT doc_id) FROM dots WHERE doc_id NOT IN (SELECT doc_id FROM commas)) AS alarms)
+SELECT category, cases, correct_cases, c AS true_positives, d AS false_positives, CAST(0 AS BIGINT) AS false_negatives, c AS span_matches, alarms AS false_alarm_cases, c / (c + d) AS precision, CAST(1 AS DOUBLE) AS recall, 2 * c / (2 * c + d) AS f1 FROM x, (SELECT unnest(['punctuation', NULL]) AS category)""",
+        "pii_scan": _pii_sql(),
+        "rule_catalog": "SELECT * FROM (VALUES ('agreement', 9, 5, 1, 9, 0), ('inflection', 14, 11, 0, 14, 9), ('spelling', 26, 0, 3, 26, 23), ('punctuation', 5, 0, 3, 5, 49), ('syntax', 9, 0, 1, 9, 51)) AS t(category, n, waiting, automatic, sources, first)".replace("SELECT * FROM", "SELECT category, CAST(n AS BIGINT) AS n, CAST(waiting AS BIGINT) AS waiting, CAST(automatic AS BIGINT) AS automatic, CAST(sources AS BIGINT) AS sources, CAST(first AS BIGINT) AS first FROM"),
         "det_comma_space": comma + " SELECT doc_id, start_at, ', ' AS suggestion FROM hits",
         "det_sentence_space": dot + " SELECT doc_id, start_at, '. ' AS suggestion FROM hits",
         "apply_corrections": f"SELECT doc_id, md5({fixed}) AS digest FROM {_GLUED}",
