@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detect, score, segment
+from ..operators import detect, morphology, score, segment
 from ..operators.catalog import AUTOMATIC, POLICY_VERSION, entries, policy
 from ..sources import io
+from .lexicon import SENTENCES, lexicon_rows
 from .planted import IN_TEXT, PLANTED, expected_rows
 
 L = "A-Za-ząćęłńóśźżĄĆĘŁŃÓŚŹŻ"
@@ -66,6 +67,12 @@ def det_planted_in_texts(spark, sf_dir):
     return detect.analyze(own).select("doc_id", "size", F.explode("issues").alias("f")).where("f.start > size + 1").select("doc_id", "f.source", (F.col("f.start") - F.col("size")).cast("long").alias("start_at"), (F.col("f.end") - F.col("size")).cast("long").alias("end_at"), "f.suggestion")
 
 
+def det_morphology(spark, sf_dir):
+    """A sentence for each detector with morphology in place of the texts, by the small lexicon."""
+    own = _with_sentence(_docs(spark, sf_dir), [t for t, _ in SENTENCES]).select("doc_id", F.col("sentence").alias("text"))
+    return morphology.findings(own, spark.createDataFrame(lexicon_rows(), morphology.LEXICON)).select(*_FOUND)
+
+
 def correct_planted(spark, sf_dir):
     own = _with_sentence(_docs(spark, sf_dir), [t for t, _ in PLANTED]).select("doc_id", F.col("sentence").alias("text"))
     return detect.correct(own).select("doc_id", "corrected", F.size("applied").cast("long").alias("n_applied"), F.size("skipped").cast("long").alias("n_skipped"))
@@ -197,7 +204,7 @@ def template_distance(spark, sf_dir):
 
 def queries() -> dict:
     own = [
-        det_comma_space, det_sentence_space, det_duplicate_comma, det_literal_family, det_default_profile, det_every_source, det_planted_in_texts, correct_planted, apply_corrections, policy_join, greedy_selected, norm_dedup,
+        det_comma_space, det_sentence_space, det_duplicate_comma, det_literal_family, det_default_profile, det_every_source, det_planted_in_texts, det_morphology, correct_planted, apply_corrections, policy_join, greedy_selected, norm_dedup,
         seg_paragraphs, seg_sentences, seg_single, find_by_language, score_counts, length_percentiles, leak_exact, leak_template, neardup_jaccard, pii_scan, rule_catalog, conv_turn_findings, score_by_source, template_distance, result_json_round_trip,
     ]
     return {f.__name__: f for f in own}
@@ -270,6 +277,7 @@ SELECT doc_id, CAST(first + 1 AS BIGINT) AS start_at, '' AS suggestion FROM w WH
 SELECT * FROM (SELECT 'syntax.comma_space' AS source, 'punctuation' AS category, count(*) AS n FROM commas UNION ALL SELECT 'syntax.sentence_space', 'punctuation', count(*) FROM dots UNION ALL SELECT 'syntax.comma_before_bo', 'syntax', n FROM bo) WHERE n > 0""",
         "det_every_source": f"SELECT doc_id, source, CAST(start_at AS BIGINT) AS start_at, CAST(end_at AS BIGINT) AS end_at, suggestion FROM {picked} JOIN {_values(rows, 'k, source, start_at, end_at, suggestion')} USING (k)",
         "det_planted_in_texts": f"SELECT doc_id, source, CAST(start_at + 2 AS BIGINT) AS start_at, CAST(end_at + 2 AS BIGINT) AS end_at, suggestion FROM (SELECT doc_id, doc_id % {len(IN_TEXT)} AS k FROM documents) JOIN {_values(inside, 'k, source, start_at, end_at, suggestion')} USING (k)",
+        "det_morphology": f"SELECT doc_id, source, CAST(start_at AS BIGINT) AS start_at, CAST(end_at AS BIGINT) AS end_at, suggestion FROM (SELECT doc_id, doc_id % {len(SENTENCES)} AS k FROM documents) JOIN {_values(expected_rows(SENTENCES), 'k, source, start_at, end_at, suggestion')} USING (k)",
         "correct_planted": f"""WITH e AS (SELECT k, source IN ({", ".join(f"'{a}'" for a in AUTOMATIC)}) AS auto, start_at, end_at, suggestion, row_number() OVER (PARTITION BY k ORDER BY start_at DESC) AS r FROM {_values(rows, 'k, source, start_at, end_at, suggestion')}),
 RECURSIVE_ AS (SELECT 1), t AS (SELECT k, sentence FROM {sentences}),
 a AS (SELECT k, start_at, end_at, suggestion FROM e WHERE auto),
