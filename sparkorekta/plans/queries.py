@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detect, morphology, score, segment
+from ..operators import detect, hygiene, morphology, score, segment
 from ..operators.catalog import AUTOMATIC, POLICY_VERSION, entries, policy
 from ..sources import io
 from .lexicon import SENTENCES, lexicon_rows
@@ -202,10 +202,111 @@ def template_distance(spark, sf_dir):
     return own.select("item_id", score.token_distance(score.template_tokens(F.col("text")), score.template_tokens(F.col("other"))).cast("long").alias("distance"))
 
 
+def _scored(spark, sf_dir):
+    """Cases, predictions and expectations: commas and full stops without a space are found; commas of two thirds of the texts are expected, the others count as correct."""
+    own = _glued(spark, sf_dir)
+    cases = own.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "correct").otherwise("incorrect").alias("outcome"))
+    found = detect.findings(own, sources=["syntax.comma_space", "syntax.sentence_space"]).select("doc_id", "start", "end", "category", "original", "suggestion", F.lit("rule").alias("kind"))
+    return cases, found, found.where("original = ',' and doc_id % 3 <> 0").drop("kind")
+
+
+def score_grouping_sets(spark, sf_dir):
+    return score.grouped_counts(*_scored(spark, sf_dir)).select("grouping", "name", *score.CASE_COUNTS)
+
+
+def score_by_case(spark, sf_dir):
+    return score.case_scores(*_scored(spark, sf_dir)).select("doc_id", "outcome", *score.CASE_COUNTS)
+
+
+def score_strata(spark, sf_dir):
+    """By language as category and length as shape; every fifth case is a conflict, every seventh one to abstain from."""
+    cases, found, want = _scored(spark, sf_dir)
+    kind = F.when(F.col("doc_id") % 5 == 0, "conflict").when(F.col("doc_id") % 7 == 0, "abstain").when(F.col("doc_id") % 3 == 0, "correct").otherwise("error")
+    shapes = F.array(F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"))
+    own = _docs(spark, sf_dir).select("doc_id", kind.alias("kind"), F.col("lang").alias("category"), shapes.alias("shapes"))
+    return score.strata_counts(own, found, want).select("category", F.coalesce("shape", F.lit("all")).alias("shape"), "cases", "eligible_cases", "excluded_cases", "predicted_findings", "true_positives", "false_positives")
+
+
+def control_violations(spark, sf_dir):
+    own = _glued(spark, sf_dir)
+    found = detect.findings(own, sources=["syntax.comma_space"])
+    cases = own.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "conflict").otherwise("abstain").alias("kind"))
+    return score.control_violations(cases, found)
+
+
+def metric_gates(spark, sf_dir):
+    """Documents and mean length by language, held to floors and ceilings; one gate has no metric."""
+    sizes = _docs(spark, sf_dir).groupBy(F.col("lang").alias("name")).agg(F.count("*").cast("double").alias("docs"), F.avg(F.length("text")).alias("mean"))
+    metrics = sizes.select("name", F.explode(F.array(F.struct(F.lit("docs").alias("metric"), F.col("docs").alias("value")), F.struct(F.lit("mean").alias("metric"), F.col("mean").alias("value")))).alias("m")).select("name", "m.*")
+    limits = spark.createDataFrame([("en", "docs", "floor", 10.0), ("de", "docs", "ceiling", 10.0), ("fr", "mean", "floor", 1e9), ("es", "mean", "ceiling", 1e9), ("pl", "docs", "floor", 1.0)], "name string, metric string, bound string, limit double")
+    return score.gates(metrics, limits).select("name", "metric", "bound", "passed")
+
+
+def source_parity(spark, sf_dir):
+    """Sources of texts by language: those that German has and English lacks, and the other way."""
+    own = _docs(spark, sf_dir).withColumn("key", F.concat_ws("-", "source", F.floor(F.length("text") / 500)))
+    return hygiene.missing_and_unknown(own.where("lang = 'de'"), own.where("lang = 'en'"), "key")
+
+
+def repeated_texts(spark, sf_dir):
+    return hygiene.repeated(_docs(spark, sf_dir).withColumn("h", F.md5("text")), "h")
+
+
+def corpus_balance(spark, sf_dir):
+    return hygiene.balance(_docs(spark, sf_dir), ["lang", "source"], 10)
+
+
+def one_sided_pairs(spark, sf_dir):
+    """Each document names the next of its three as counterpart, every eleventh itself."""
+    own = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 11 == 0, F.col("doc_id")).when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 1).when(F.col("doc_id") % 3 != 0, F.col("doc_id") - 1).alias("counterpart_id"))
+    return hygiene.one_sided_pairs(own)
+
+
+def slugs(spark, sf_dir):
+    own = _docs(spark, sf_dir).select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
+    return own.select("doc_id", hygiene.slug(F.left("line", F.lit(60))).alias("slug"))
+
+
+def name_stems(spark, sf_dir):
+    """Polish names in several cases, one for each document."""
+    names = ["Janowi", "Anną", "Markiem", "Franek", "Ewa", "Kowalskiego", "Tomka", "Zofii", "Łukaszem", "Ala"]
+    return _with_sentence(_docs(spark, sf_dir), names).select("doc_id", hygiene.name_key(F.col("sentence")).alias("stem"))
+
+
+def near_templates(spark, sf_dir):
+    """Benchmark items with one word more, one word changed or other numbers."""
+    own = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id % 2 = 0")
+    kinds = F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("x")), F.struct(F.lit(1).alias("k"), F.concat("text", F.lit(" more")).alias("x")), F.struct(F.lit(2).alias("k"), F.lit("short case of words").alias("x")))
+    cases = own.select("item_id", F.explode(kinds).alias("c")).select((F.col("item_id") * 10 + F.col("c.k")).alias("id"), score.templated(F.col("c.x")).alias("template"))
+    return hygiene.near_templates(cases.where("id % 10 <> 2 or id < 100")).select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+
+def latest_findings_top(spark, sf_dir):
+    """The three most frequent suggestions' contexts by language: distinct lengths in order, at most three."""
+    own = _docs(spark, sf_dir).groupBy("lang").agg(F.sort_array(F.collect_list(F.length("text")), False).alias("sizes"))
+    return own.select("lang", F.array_join(F.transform(hygiene.best(F.col("sizes"), 3), lambda x: x.cast("string")), ",").alias("largest"))
+
+
+def conflict_pairs(spark, sf_dir):
+    """Findings of three made-up spans of each document that conflict, by an interval join."""
+    own = _docs(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.struct(F.lit(a).alias("start"), (F.lit(b) + F.col("doc_id") % 3).cast("int").alias("end")) for a, b in ((0, 2), (3, 3), (4, 6))])).alias("s"))
+    a, b = own.select("doc_id", F.col("s").alias("a")), own.select("doc_id", F.col("s").alias("b"))
+    both = a.join(b, "doc_id").where(F.col("a.start") < F.col("b.start"))
+    return both.where(detect.conflict(F.col("a"), F.col("b"))).select("doc_id", F.col("a.start").cast("long").alias("first"), F.col("b.start").cast("long").alias("second"))
+
+
+def union_datasets(spark, sf_dir):
+    """Texts and conversations as one set of cases, counted by where they come from."""
+    texts = _docs(spark, sf_dir).select(F.lit("documents").alias("origin"), "text")
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.lit("conversations").alias("origin"), "text")
+    return texts.unionByName(talks).groupBy("origin").agg(F.count("*").alias("n"), F.countDistinct(score.normalized(F.col("text"))).alias("texts"))
+
+
 def queries() -> dict:
     own = [
         det_comma_space, det_sentence_space, det_duplicate_comma, det_literal_family, det_default_profile, det_every_source, det_planted_in_texts, det_morphology, correct_planted, apply_corrections, policy_join, greedy_selected, norm_dedup,
         seg_paragraphs, seg_sentences, seg_single, find_by_language, score_counts, length_percentiles, leak_exact, leak_template, neardup_jaccard, pii_scan, rule_catalog, conv_turn_findings, score_by_source, template_distance, result_json_round_trip,
+        score_grouping_sets, score_by_case, score_strata, control_violations, metric_gates, source_parity, repeated_texts, corpus_balance, one_sided_pairs, slugs, name_stems, near_templates, latest_findings_top, conflict_pairs, union_datasets,
     ]
     return {f.__name__: f for f in own}
 
@@ -229,6 +330,7 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({names}))"
 
 
+PLACEHOLDER_SQL = r"(?i)[<\[](?:person|name|email|phone|address|pesel|nip|regon)[>\]]"
 #: Hits of `bo` and its like in texts without quotes, from words between spaces.
 _CAUSAL = r"""c AS (SELECT string_split(text, ' ') AS s FROM g),
 bo AS (SELECT CAST(sum(len(list_filter(range(2, len(s)), lambda i: s[i] IN ('bo', 'ponieważ', 'gdyż') AND regexp_matches(s[i + 1], '^[a-ząćęłńóśźż]') AND regexp_matches(s[i - 1], '[A-Za-ząćęłńóśźżĄĆĘŁŃÓŚŹŻ]$')
@@ -252,7 +354,7 @@ def _pii_sql() -> str:
     own = ", ".join(f"CAST(count(*) FILTER ({test}) AS BIGINT) AS {k}" for k, test in kinds.items())
     return f"""WITH r AS (SELECT doc_id, text, list_filter(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '[0-9]+'), lambda x: length(x) BETWEEN 9 AND 19) AS runs FROM documents),
 u AS (SELECT doc_id, unnest(runs) AS d FROM r), k AS (SELECT doc_id, {own} FROM u GROUP BY doc_id)
-SELECT doc_id, {count(r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}")} AS emails, {count(r"(?i)https?://[^\s]+")} AS urls, {count(r"(?i)<(?:email|url|phone|name)>|\[(?:email|url|phone|name)\]")} AS placeholders, {", ".join(f"coalesce({k}, 0) AS {k}" for k in kinds)} FROM r LEFT JOIN k USING (doc_id)"""
+SELECT doc_id, {count(r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}")} AS emails, {count(r"(?i)https?://[^\s]+")} AS urls, {count(PLACEHOLDER_SQL)} AS placeholders, {", ".join(f"coalesce({k}, 0) AS {k}" for k in kinds)} FROM r LEFT JOIN k USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -301,6 +403,36 @@ SELECT doc_id, t <> '' AND len(e) + CASE WHEN len(e) > 0 AND e[-1] = length(t) T
  (SELECT count(DISTINCT doc_id) FROM dots WHERE doc_id NOT IN (SELECT doc_id FROM commas)) AS alarms)
 SELECT category, cases, correct_cases, c AS true_positives, d AS false_positives, CAST(0 AS BIGINT) AS false_negatives, c AS span_matches, alarms AS false_alarm_cases, c / (c + d) AS precision, CAST(1 AS DOUBLE) AS recall, 2 * c / (2 * c + d) AS f1 FROM x, (SELECT unnest(['punctuation', NULL]) AS category)""",
         "pii_scan": _pii_sql(),
+        "score_by_case": f"""WITH {both}, c AS (SELECT doc_id, count(*) AS c FROM commas GROUP BY doc_id), d AS (SELECT doc_id, count(*) AS d FROM dots GROUP BY doc_id),
+x AS (SELECT doc_id, doc_id % 3 = 0 AS good, coalesce(c, 0) AS c, coalesce(d, 0) AS d FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id))
+SELECT doc_id, CASE WHEN good THEN 'correct' ELSE 'incorrect' END AS outcome, CASE WHEN good THEN 0 ELSE c END AS expected_findings, c + d AS predicted_findings, CASE WHEN good THEN 0 ELSE c END AS true_positives, d + CASE WHEN good THEN c ELSE 0 END AS false_positives,
+ CAST(0 AS BIGINT) AS false_negatives, CASE WHEN good THEN 0 ELSE c END AS span_matches, CAST(good AS BIGINT) AS correct_cases, CAST(good AND c + d > 0 AS BIGINT) AS alarmed_correct_cases FROM x""",
+        "score_grouping_sets": f"""WITH {both}, x AS (SELECT (SELECT count(*) FROM commas WHERE doc_id % 3 <> 0) AS t, (SELECT count(*) FROM commas) AS c, (SELECT count(*) FROM dots) AS d, (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) AS k,
+ (SELECT count(DISTINCT doc_id) FROM (SELECT doc_id FROM commas UNION ALL SELECT doc_id FROM dots) WHERE doc_id % 3 = 0) AS a),
+names AS (SELECT * FROM (VALUES ('all', 'all', 1, 1), ('category', 'punctuation', 1, 1), ('category', 'inflection', 0, 0), ('category', 'agreement', 0, 0), ('category', 'syntax', 0, 0), ('category', 'spelling', 0, 0), ('category', 'style', 0, 0), ('source_kind', 'rule', 1, 1), ('source_kind', 'llm', 0, 1)) AS v(grouping, name, p, e))
+SELECT grouping, name, e * t AS expected_findings, p * (c + d) AS predicted_findings, p * t AS true_positives, p * (c + d - t) AS false_positives, e * t - p * t AS false_negatives, p * t AS span_matches, k AS correct_cases, p * a AS alarmed_correct_cases FROM x, names""",
+        "score_strata": f"""WITH {both}, c AS (SELECT doc_id, count(*) AS c FROM commas GROUP BY doc_id), d AS (SELECT doc_id, count(*) AS d FROM dots GROUP BY doc_id),
+x AS (SELECT doc_id, lang, doc_id % 7 <> 0 AS held, doc_id % 3 = 0 AS good, coalesce(c, 0) AS c, coalesce(d, 0) AS d, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS shape FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id) WHERE doc_id % 5 <> 0),
+y AS (SELECT * EXCLUDE (shape), unnest(['all', shape]) AS shape FROM x)
+SELECT lang AS category, shape, count(*) AS cases, count(*) FILTER (held) AS eligible_cases, count(*) FILTER (NOT held) AS excluded_cases, CAST(coalesce(sum(c + d) FILTER (held), 0) AS BIGINT) AS predicted_findings,
+ CAST(coalesce(sum(c) FILTER (held AND NOT good), 0) AS BIGINT) AS true_positives, CAST(coalesce(sum(d + CASE WHEN good THEN c ELSE 0 END) FILTER (held), 0) AS BIGINT) AS false_positives FROM y GROUP BY ALL""",
+        "control_violations": comma + ", c AS (SELECT doc_id, count(*) AS c FROM hits GROUP BY doc_id) SELECT CASE WHEN doc_id % 2 = 0 THEN 'conflict' ELSE 'abstain' END AS kind, count(*) AS cases, CAST(coalesce(sum(c), 0) AS BIGINT) AS predicted_findings, count(c) AS violations FROM documents LEFT JOIN c USING (doc_id) GROUP BY 1",
+        "metric_gates": "WITH s AS (SELECT lang, count(*) AS n, avg(length(text)) AS m FROM documents GROUP BY lang) SELECT 'en' AS name, 'docs' AS metric, 'floor' AS bound, n >= 10 AS passed FROM s WHERE lang = 'en' UNION ALL SELECT 'de', 'docs', 'ceiling', n <= 10 FROM s WHERE lang = 'de' UNION ALL SELECT 'fr', 'mean', 'floor', m >= 1e9 FROM s WHERE lang = 'fr' UNION ALL SELECT 'es', 'mean', 'ceiling', m <= 1e9 FROM s WHERE lang = 'es' UNION ALL SELECT 'pl', 'docs', 'floor', false",
+        "source_parity": "WITH k AS (SELECT lang, source || '-' || CAST(length(text) // 500 AS VARCHAR) AS key FROM documents) SELECT DISTINCT key, 'missing' AS side FROM k WHERE lang = 'en' AND key NOT IN (SELECT key FROM k WHERE lang = 'de') UNION ALL SELECT DISTINCT key, 'unknown' FROM k WHERE lang = 'de' AND key NOT IN (SELECT key FROM k WHERE lang = 'en')",
+        "repeated_texts": "SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
+        "corpus_balance": "SELECT lang, source, count(*) AS n, count(*) >= 10 AS enough FROM documents GROUP BY lang, source",
+        "one_sided_pairs": "WITH c AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN doc_id WHEN doc_id % 2 = 0 THEN doc_id + 1 WHEN doc_id % 3 <> 0 THEN doc_id - 1 END AS o FROM documents) SELECT a.id, a.o AS counterpart_id FROM c a LEFT JOIN c b ON b.id = a.o WHERE a.o IS NOT NULL AND (a.o = a.id OR b.o IS NULL OR b.o <> a.id)",
+        "slugs": "SELECT doc_id, trim(regexp_replace(strip_accents(replace(lower(left(string_split(text, chr(10))[1], 60)), 'ł', 'l')), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents",
+        "name_stems": "SELECT doc_id, ['jan', 'ann', 'mark', 'frank', 'ewa', 'kowalsk', 'tomk', 'zofi', 'lukasz', 'ala'][doc_id % 10 + 1] AS stem FROM documents",
+        "near_templates": """WITH b AS (SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '[0-9]+(?:[.,][0-9]+)*', '<num>', 'g')) AS t FROM benchmark WHERE item_id % 2 = 0),
+c AS (SELECT item_id * 10 AS id, t FROM b UNION ALL SELECT item_id * 10 + 1, t || ' more' FROM b UNION ALL SELECT item_id * 10 + 2, 'short case of words' FROM b WHERE item_id * 10 + 2 < 100),
+k AS (SELECT id, regexp_extract_all(t, '<[^>]+>|[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}_\\s]') AS w FROM c),
+p AS (SELECT a.id AS a, b.id AS b, a.w AS x, b.w AS y, list_distinct(list_concat(a.w, b.w)) AS u FROM k a JOIN k b ON a.id < b.id AND abs(len(a.w) - len(b.w)) <= 1),
+d AS (SELECT a, b, len(x) AS n, len(y) AS m, CAST(levenshtein(array_to_string(list_transform(x, lambda z: chr(32 + list_position(u, z))), ''), array_to_string(list_transform(y, lambda z: chr(32 + list_position(u, z))), '')) AS BIGINT) AS distance FROM p)
+SELECT a, b, distance FROM d WHERE distance <= 1 AND ((n + m - distance) / (n + m) >= 0.92 OR greatest(n, m) <= 8)""",
+        "latest_findings_top": "SELECT lang, array_to_string(list_reverse_sort(list_distinct(list(length(text))))[1:3], ',') AS largest FROM documents GROUP BY lang",
+        "conflict_pairs": "WITH s AS (SELECT doc_id, doc_id % 3 AS k FROM documents) SELECT doc_id, CAST(0 AS BIGINT) AS first, CAST(3 AS BIGINT) AS second FROM s WHERE 3 <= 2 + k AND k = 0 OR (k > 0 AND 3 < 2 + k) OR (k = 0 AND 3 <= 2) UNION ALL SELECT doc_id, 0, 4 FROM s WHERE 4 < 2 + k UNION ALL SELECT doc_id, 3, 4 FROM s WHERE k > 1",
+        "union_datasets": "WITH a AS (SELECT 'documents' AS origin, text FROM documents UNION ALL SELECT 'conversations', text FROM conversations) SELECT origin, count(*) AS n, count(DISTINCT trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS texts FROM a GROUP BY origin",
         "rule_catalog": "SELECT * FROM (VALUES ('agreement', 9, 5, 1, 9, 0), ('inflection', 14, 11, 0, 14, 9), ('spelling', 26, 0, 3, 26, 23), ('punctuation', 5, 0, 3, 5, 49), ('syntax', 9, 0, 1, 9, 51)) AS t(category, n, waiting, automatic, sources, first)".replace("SELECT * FROM", "SELECT category, CAST(n AS BIGINT) AS n, CAST(waiting AS BIGINT) AS waiting, CAST(automatic AS BIGINT) AS automatic, CAST(sources AS BIGINT) AS sources, CAST(first AS BIGINT) AS first FROM"),
         "det_comma_space": comma + " SELECT doc_id, start_at, ', ' AS suggestion FROM hits",
         "det_sentence_space": dot + " SELECT doc_id, start_at, '. ' AS suggestion FROM hits",
