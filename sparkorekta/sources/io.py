@@ -16,12 +16,12 @@ from ..operators import detect
 SMALL = 32 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores if it is small: a file of one row group is read by one task, however it is cut."""
+def spread(df: DataFrame, small: int = SMALL) -> DataFrame:
+    """df dealt over all cores if it has under `small` bytes a core: a file of one row group is read by one task, however it is cut."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(2 * cores) if size < cores * SMALL else df
+    return df.repartition(2 * cores) if size < cores * small else df
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
