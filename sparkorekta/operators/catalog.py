@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import LETTER, LOWER, NOT_AFTER_WORD, NOT_BEFORE_WORD, SPACE, UPPER, WORD, Place, let, literal_guard, quoted, with_case, wrapped
+from ..functions.text import LETTER, LOWER, NOT_AFTER_WORD, NOT_BEFORE_WORD, SPACE, UPPER, WORD, Place, let, literal_guard, lookup, quoted, with_case, wrapped
 from .segment import sentences_of
 
 Guard = Callable[[Place], Column]
@@ -99,17 +99,13 @@ def _const(text: str) -> Callable[[Column, Column], Column]:
     return lambda o, h: F.lit(text)
 
 
-def _map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-
-
 def _copula(compat: bool) -> Rule:
     pairs = {f"{s} {v}": good for s, (good, wrong) in COPULA.items() for v in wrong.split()}
     verbs = "jestem|jestes|jestesz|jesteś|jesteśmy|jesteście|są|jest"
     # compat keeps the quirk that the first fitting verb wins even inside a longer word.
     pattern = rf"(?iu){NOT_AFTER_WORD}({'|'.join(COPULA)})[\s\p{{Z}}]+({verbs}){'' if compat else NOT_BEFORE_WORD}"
     key = lambda h: F.regexp_replace(F.lower(h), r"[\s\p{Z}]+", " ")
-    return Rule("agreement.copula", "agreement", "replace.copula_form", pattern, 2, lambda o, h: with_case(o, F.try_element_at(_map(pairs), key(h))), None, 0.93)
+    return Rule("agreement.copula", "agreement", "replace.copula_form", pattern, 2, lambda o, h: with_case(o, lookup(pairs, key(h))), None, 0.93)
 
 
 def _co_guard(p: Place) -> Column:
@@ -166,7 +162,7 @@ def rules(compat: bool = False) -> list[Rule]:
         Rule("inflection.negated_widziec", "inflection", "replace.negated_government_form", rf"{NOT_AFTER_WORD}(?:(?:Nie|nie) widzę (?=samochód)|NIE WIDZĘ (?=SAMOCHÓD))(samochód|SAMOCHÓD){NOT_BEFORE_WORD}", 1, lambda o, h: with_case(o, F.lit("samochodu")), template=(again, True)),
         Rule("inflection.negated_miec_czas", "inflection", "replace.governed_form", rf"{NOT_AFTER_WORD}(?:(?:Nie|nie) mam (?=czas)|NIE MAM (?=CZAS))(czas|CZAS){NOT_BEFORE_WORD}", 1, lambda o, h: with_case(o, F.lit("czasu")), template=(again, True)),
         Rule("inflection.numeral_five_genitive_plural", "inflection", "replace.governed_form", rf"{NOT_AFTER_WORD}(?:Pięć|pięć|PIĘĆ){SPACE}+(książki|KSIĄŻKI)(?={SPACE})", 1, lambda o, h: with_case(o, F.lit("książek")), template=(None, False)),
-        Rule("spelling.*", "spelling", "replace.common_typo", rf"(?iu){NOT_AFTER_WORD}(?:{'|'.join(sorted(fixed, key=len, reverse=True))}){NOT_BEFORE_WORD}", 0, lambda o, h: with_case(o, F.try_element_at(_map(fixed), F.lower(o))), literal, 0.98, source_of=lambda o: F.try_element_at(_map(names), F.lower(o))),
+        Rule("spelling.*", "spelling", "replace.common_typo", rf"(?iu){NOT_AFTER_WORD}(?:{'|'.join(sorted(fixed, key=len, reverse=True))}){NOT_BEFORE_WORD}", 0, lambda o, h: with_case(o, lookup(fixed, F.lower(o))), literal, 0.98, source_of=lambda o: lookup(names, F.lower(o))),
         Rule("spelling.arcy_prefix", "spelling", "replace.prefix_hyphenation", rf"{NOT_AFTER_WORD}arcy [{UPPER}][{LETTER}]*(?![\p{{L}}\p{{N}}_-])", 0, lambda o, h: F.replace(o, F.lit(" "), F.lit("-")), _arcy_guard, 0.95),
         Rule("spelling.month_weekday_lowercase", "spelling", "replace.case", rf"{NOT_AFTER_WORD}(?:w|we) ([{UPPER}][{LOWER}]+){NOT_BEFORE_WORD}", 1, lambda o, h: F.lower(o), lambda p: ~F.lower(p.own).isin(CALENDAR) | whole(p) | p.after.rlike(rf"\A{SPACE}*\p{{Lu}}")),
         Rule("spelling.proper_adjective_lowercase", "spelling", "replace.case", rf"{NOT_AFTER_WORD}(?:{'|'.join(HEADS)}) ([{UPPER}][{LOWER}]+){NOT_BEFORE_WORD}", 1, lambda o, h: F.lower(o), lambda p: ~F.lower(p.own).isin(NATIONAL) | whole(p)),

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ANY_QUOTE, HAS_QUOTES, SPAN, Place, let, scan, spans
+from ..functions.text import ANY_QUOTE, HAS_QUOTES, SPAN, Place, let, lookup, scan, spans
 from .catalog import LITERALS, POLICY_VERSION, SOURCES, Rule, entries, policy, rules
 from .segment import sentences_of
 
@@ -23,10 +23,11 @@ MESSAGES = {"agreement": "Niezgodność form wyrazów.", "inflection": "Niewła
 _TEXT, _LOW = "__text", "__low"
 
 
-def finding(start: Column, end: Column, original: Column, suggestion: Column, category: str, severity: str, confidence: Column, source: Column) -> Column:
+def finding(start: Column, end: Column, original: Column, suggestion: Column, category: str, severity: str, confidence: Column, source: Column | str) -> Column:
     """A finding's struct; message and explanation follow from category, original and suggestion."""
     say = F.when(original == "", F.concat(F.lit("Należy wstawić „"), suggestion, F.lit("”."))).when(suggestion == "", F.concat(F.lit("Należy usunąć „"), original, F.lit("”."))).otherwise(F.concat(F.lit("Zamiast „"), original, F.lit("” należy napisać „"), suggestion, F.lit("”.")))
-    order = F.try_element_at(F.create_map(*[F.lit(x) for k, s in enumerate(SOURCES) for x in (s, k)]), source)
+    order = F.lit(SOURCES.index(source)) if isinstance(source, str) else lookup({s: k for k, s in enumerate(SOURCES)}, source)
+    source = F.lit(source) if isinstance(source, str) else source
     return F.struct(start.alias("start"), end.alias("end"), original.alias("original"), suggestion.alias("suggestion"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(MESSAGES[category]).alias("message"), say.alias("explanation"), confidence.cast("double").alias("confidence"), source.alias("source"), order.alias("rule_ord"))
 
 
@@ -61,11 +62,11 @@ def _found(rule: Rule, text: Column, low: Column) -> Column:
     none = F.array().cast(f"array<{SPAN}>")
 
     def made(x: Column) -> Column:
-        source = rule.source_of(x.original) if rule.source_of else F.lit(rule.source)
-        sure = F.try_element_at(F.create_map(*[F.lit(v) for t, _, _, c in LITERALS for v in (t, c)]), F.lower(x.original)) if rule.source_of else F.lit(rule.confidence)
+        source = rule.source_of(x.original) if rule.source_of else rule.source
+        sure = lookup({t: c for t, _, _, c in LITERALS}, F.lower(x.original)) if rule.source_of else F.lit(rule.confidence)
         return finding(x.start, x.end, x.original, rule.suggest(x.original, x.hit), rule.category, rule.severity, sure, source)
 
-    hits = spans(text, rule.pattern, rule.group)
+    hits = spans(_TEXT, rule.pattern, rule.group)
     if rule.gate:
         hits = F.when(reduce(or_, (F.contains(low, F.lit(g)) for g in rule.gate)), hits).otherwise(none)
     if rule.template:
@@ -174,8 +175,8 @@ def eligible(f: Column, version: str = POLICY_VERSION) -> Column:
     """Whether the automatic policy holds a finding: its source with category, operation, behaviour and policy version, and the confidence."""
     known = {e[1]: e for e in entries()}
     rows = [p for p in policy() if p[4] == version and (known[p[0]][2], known[p[0]][3], known[p[0]][4]) == p[1:4]]
-    least = F.create_map(*[F.lit(x) for p in rows for x in (f"{p[0]}/{p[1]}", p[5])]) if rows else F.lit(None).cast("map<string,double>")
-    return F.coalesce(f.confidence >= F.try_element_at(least, F.concat_ws("/", f.source, f.category)), F.lit(False))
+    least = lookup({f"{p[0]}/{p[1]}": p[5] for p in rows}, F.concat_ws("/", f.source, f.category)) if rows else F.lit(None).cast("double")
+    return F.coalesce(f.confidence >= least, F.lit(False))
 
 
 def join_policy(found: DataFrame, catalog: DataFrame, rows: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ def qualified(rows: DataFrame) -> list[str]:
 def _rows(docs: DataFrame, source: str, pattern: str, abstain=None, group: int = 1) -> DataFrame:
     """A row for each hit: doc_id, start, end, original, hit, before, after, open (a quotation is open where the hit begins)."""
     t = F.col("__text")
-    hits = spans(t, pattern, group)
+    hits = spans("__text", pattern, group)
     if abstain is not None:
         hits = F.filter(hits, lambda x: ~F.coalesce(abstain(Place(t, x.start, x.end, x.hit)), F.lit(True)))
     each = docs.select("doc_id", "__text", HAS_QUOTES, F.explode(hits).alias("x"))

@@ -136,7 +136,7 @@ def test_correct_and_ids(spark):
 def test_spans_equal_finditer(spark):
     rnd = random.Random(4)
     texts = ["".join(rnd.choice("ab,. \r\nżé😀𝒳́") for _ in range(rnd.randrange(40))) for _ in range(200)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", spans(F.col("text"), "[,.]+b?").alias("s"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", spans("text", "[,.]+b?", size=4).alias("s"))
     for r in df.collect():
         assert [(x.start, x.end) for x in r.s] == [m.span() for m in re.finditer("[,.]+b?", texts[r.doc_id])]
 
