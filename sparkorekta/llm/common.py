@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import spread
+
 #: Folders made by this driver, newest last; removed at exit or by drop_scratch().
 _made: list[str] = []
 _fallback: list[str] = []
@@ -22,7 +24,8 @@ SLICE_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; one of a few megabytes a core is dealt over all cores, as it may be one row group."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), 4 << 20)
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -229,7 +229,7 @@ def scan(spark: SparkSession, docs: DataFrame, model: Softmax | None = None) ->
     best = sums.select("key", F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("x", F.col("top")).cast("int")).alias("family"), (sure / F.col("all")).alias("probability")).where(F.col("probability") >= PROBABILITY)
     found = spans.join(best, ["key", "family"]).groupBy("doc_id", "row", "para", "at", "family").agg(F.max("end").alias("end"), F.max("probability").alias("probability"), F.max("containment").alias("containment"))
     # Templates overlap in words; of places that overlap the first is the notice. A window holds one paragraph's notices.
-    until = F.max("end").over(Window.partitionBy("row", "para", "family").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    until = F.max("end").over(Window.partitionBy("doc_id", "row", "para", "family").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     return found.withColumn("until", until).where(F.col("until").isNull() | (F.col("at") >= F.col("until"))).select("doc_id", "para", "at", "family", "probability", "containment")
 
 
