@@ -51,13 +51,14 @@ def _with_sentence(docs: DataFrame, sentences: list[str]) -> DataFrame:
     return docs.withColumn("sentence", F.element_at(F.array(*map(F.lit, sentences)), (F.col("doc_id") % len(sentences) + 1).cast("int")))
 
 
-_FOUND = ("doc_id", "source", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "suggestion")
+#: Columns of a finding, as queries show them.
+_FOUND = ("doc_id", "source", "cast(start as bigint) as start_at", "cast(end as bigint) as end_at", "suggestion")
 
 
 def det_every_source(spark, sf_dir):
     """A sentence for each detector of the default profile in place of the texts."""
     own = _with_sentence(_docs(spark, sf_dir), [t for t, _ in PLANTED]).select("doc_id", F.col("sentence").alias("text"))
-    return detect.findings(own).select(*_FOUND)
+    return detect.findings(own).selectExpr(*_FOUND)
 
 
 def det_planted_in_texts(spark, sf_dir):
@@ -70,7 +71,7 @@ def det_planted_in_texts(spark, sf_dir):
 def det_morphology(spark, sf_dir):
     """A sentence for each detector with morphology in place of the texts, by the small lexicon."""
     own = _with_sentence(_docs(spark, sf_dir), [t for t, _ in SENTENCES]).select("doc_id", F.col("sentence").alias("text"))
-    return morphology.findings(own, spark.createDataFrame(lexicon_rows(), morphology.LEXICON)).select(*_FOUND)
+    return morphology.findings(own, spark.createDataFrame(lexicon_rows(), morphology.LEXICON)).selectExpr(*_FOUND)
 
 
 def correct_planted(spark, sf_dir):
