@@ -93,11 +93,11 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayTree:
-    """The hierarchical index of one group of fingerprints (unsigned 64-bit, any order)."""
+    """The hierarchical index of one group of fingerprints (unsigned 64-bit, any order), or of signatures (rows of several lanes, in the Gray order of the first)."""
 
     def __init__(self, fps: np.ndarray, fanout: int = 16):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
-        pattern, mask = fps[self.order], np.full(len(fps), common.M64, np.uint64)
+        self.order = np.argsort(gray_rank(fps if fps.ndim == 1 else fps[:, 0]), kind="stable")
+        pattern, mask = fps[self.order], np.full(fps.shape, common.M64, np.uint64)
         levels = [(pattern, mask)]
         while len(pattern) > fanout:
             cuts = np.arange(0, len(pattern), fanout)
@@ -107,6 +107,10 @@ class GrayTree:
             pattern = one & mask
             levels.append((pattern, mask))
         self.fanout, self.levels = fanout, levels[::-1]
+        if fps.ndim > 1:
+            # By lane: patterns, and the bits that a node's group shares and no node above it has counted.
+            above = [np.zeros((1, fps.shape[1]), np.uint64), *[np.repeat(m, fanout, axis=0) for _, m in self.levels[:-1]]]
+            self.by_lane = [(np.ascontiguousarray(p.T), np.ascontiguousarray((m & ~up[: len(m)]).T)) for (p, m), up in zip(self.levels, above)]
 
     def search(self, q: np.ndarray, radius: int):
         """Index pairs (query, member) whose fingerprints differ in at most radius bits."""
@@ -129,6 +133,43 @@ class GrayTree:
         return qi, node
 
 
+    def near(self, q: np.ndarray, radius: int):
+        """search() for signatures of several lanes; queries should lie near each other, as a group is left when the last of them leaves it.
+
+        A node's bits are added by lanes. Among single signatures most sums pass the radius long before the
+        last lane; the pairs that are left then are followed one by one.
+        """
+        q = np.ascontiguousarray(q.T)
+        node = np.arange(len(self.levels[0][0]))
+        diff = np.zeros((q.shape[1], len(node)), np.int16)
+        for k, (pattern, own) in enumerate(self.by_lane):
+            last = k + 1 == len(self.by_lane)
+            for lane in range(0, len(q), 3):
+                # Three lanes differ in at most 192 bits, which a byte holds.
+                more = np.zeros(diff.shape, np.uint8)
+                for one in range(lane, min(lane + 3, len(q))):
+                    bits = own[one, node]
+                    if bits.any():
+                        apart = q[one][:, None] ^ pattern[one, node]
+                        apart &= bits
+                        more += np.bitwise_count(apart)
+                diff += more
+                if last and (lane or lane + 3 >= len(q)):
+                    keep = diff <= radius
+                    if lane + 3 >= len(q) or np.count_nonzero(keep) * 16 < keep.size:
+                        qi, at = np.nonzero(keep)
+                        at, sums = node[at], diff[qi, at]
+                        for one in range(lane + 3, len(q)):
+                            sums = sums + np.bitwise_count((q[one, qi] ^ pattern[one, at]) & own[one, at])
+                            keep = sums <= radius
+                            qi, at, sums = qi[keep], at[keep], sums[keep]
+                        return qi, self.order[at]
+            keep = (diff <= radius).any(axis=0)
+            child = (node[keep][:, None] * self.fanout + np.arange(self.fanout)).ravel()
+            there = child < len(self.levels[k + 1][0])
+            node, diff = child[there], np.repeat(diff[:, keep], self.fanout, axis=1)[:, there]
+
+
 def _star(ids: np.ndarray, label: np.ndarray) -> pd.DataFrame:
     """A row for each linked id: it and the smallest id of its local component."""
     inv = label
@@ -454,9 +495,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, threshol
     so the upper nodes are groups of signatures (lanes x 64 bits) that share a masked bit pattern, under as many
     masks (tables) as leave at most `miss` of the pairs at the threshold apart; nearer pairs are missed less.
     The pattern's width follows the logarithm of the rows, so groups keep their size and the work grows a little
-    faster than the input, not with its square. Within a group, members stand in Gray order and are compared on
-    lane 0, on all bits and then by their sets. Only documents whose set sizes
-    allow the threshold meet: a window is a band of sizes in the ratio 1/threshold and the next band. A group of
+    faster than the input, not with its square. Within a group a GrayTree of the whole signatures is searched, and
+    what it finds is checked by the sets. Only documents whose set sizes allow the threshold meet: a window is a band of sizes in the ratio 1/threshold and the next band. A group of
     over 8 x group_rows is compared block by block, so no task gets more than two blocks. No pairs leave a
     task, only a forest of them. Equal signatures (exact copies) meet once. Null and empty texts form one group.
     Texts of fewer than `size` words are their whole sequence; texts of any length are read whole. Rows with
@@ -471,7 +511,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, threshol
     sizes = {r["band"]: r["c"] for r in nodes.groupBy("band").agg(F.count("*").alias("c")).collect()}  # at most log(longest text) rows
     # A window's own band asks, the next band only answers.
     layout = {b: _tables(c + sizes.get(b + 1, 0), threshold, 64 * lanes, group_rows, miss) for b, c in sizes.items()}
-    bound, far = jaccard_bits(threshold - slack, lanes), min(64, math.ceil(64 * jaccard_bits(threshold - slack, lanes) / (64 * lanes) + 10))
+    bound = jaccard_bits(threshold - slack, lanes)
 
     def keys(batches):
         masks = {b: _table_bits(t, bits, 64 * lanes) for b, (bits, t) in layout.items()}
@@ -515,16 +555,14 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, threshol
         at, node, sets = pdf[["file", "off", "n"]].to_numpy()[order], np.arange(len(rep)), Sets(folder)
         members, asks = np.flatnonzero(role & 2), np.flatnonzero(role & 1)
         label, unite = common.forest(len(rep))
-        key = np.ascontiguousarray(sig[members, 0])
-        for s in range(0, len(asks), 256):
-            some = asks[s : s + 256]
-            q, m = np.nonzero(np.bitwise_count(sig[some, 0][:, None] ^ key[None, :]) <= far)
-            for t in range(0, len(q), 200_000):
-                a, b = some[q[t : t + 200_000]], members[m[t : t + 200_000]]
-                keep = (a != b) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])) & (label()[a] != label()[b])
-                a, b = a[keep], b[keep]
-                near = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1, dtype=np.int64) <= bound
-                _verify(sets, at, a[near], b[near], node, label, unite, threshold)
+        if len(members) and len(asks):
+            tree, step = GrayTree(sig[members]), min(256, max(8, 100_000 // len(members)))
+            for s in range(0, len(asks), step):
+                q, m = tree.near(sig[asks[s : s + step]], bound)
+                for t in range(0, len(q), 200_000):
+                    a, b = asks[s + q[t : t + 200_000]], members[m[t : t + 200_000]]
+                    keep = (a != b) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])) & (label()[a] != label()[b])
+                    _verify(sets, at, a[keep], b[keep], node, label, unite, threshold)
         return _star(rep, label())
 
     found = common.components(spark, rows.groupBy("key", "cell").applyInPandas(search, "a long, b long"))

@@ -57,6 +57,19 @@ def test_gray_tree_finds_all():
     assert sorted(zip(q, m)) == sorted(zip(*np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 2)))
 
 
+def test_gray_tree_of_signatures_finds_all():
+    """Random signatures, near copies of some, a large cluster and exact copies, in groups of any size."""
+    rng = np.random.default_rng(4)
+    flip = lambda x, n: x ^ np.packbits(np.stack([rng.permutation(np.arange(1024) < n) for _ in x]), axis=1).view(np.uint64)
+    base = rng.integers(0, 1 << 63, (400, 16), dtype=np.uint64)
+    x = np.concatenate([base, flip(base[:100], 163), flip(base[:100], 164), flip(base[100:140], 90), flip(np.repeat(base[200:201], 300, axis=0), 80), base[300:305]])
+    x = x[np.argsort(simhash.gray_rank(x[:, 0]), kind="stable")]
+    for size in (1, 2, 16, 17, 300, len(x)):
+        apart = np.bitwise_count(x[:, None] ^ x[None, :size]).sum(axis=2, dtype=np.int64)
+        found = [(s + q, m) for s in range(0, len(x), 64) for q, m in [simhash.GrayTree(x[:size]).near(x[s : s + 64], 163)]]
+        assert sorted((a, b) for q, m in found for a, b in zip(q, m)) == sorted(zip(*np.nonzero(apart <= 163)))
+
+
 def test_simhash(spark, docs):
     import xxhash
 
